@@ -14,14 +14,18 @@ from .components import components
 BITS = 64
 
 
-def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+def simhash(text: bytes, shingle: int = 3, seed: int = 42, repeats: bool = True) -> int:
     """Bits set in over half of the XXH64s of a text's word shingles, A-Z lower-cased, repeats included.
 
-    A text of fewer words is one shingle; one without words has fingerprint 0.
+    A text of fewer words is one shingle; one without words has fingerprint 0. Without
+    ``repeats`` every different word counts once and ``shingle`` must be 1.
     """
     words = text.lower().split()
     if not words:
         return 0
+    if not repeats:
+        assert shingle == 1
+        words = sorted(set(words))
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), seed)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -37,15 +41,20 @@ def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple = ()) -> DataFrame:
-    """(doc_id, fp, *keep): fp is the fingerprint's bit pattern as a long. Null texts count as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple = ((3, True),)) -> DataFrame:
+    """(doc_id, fp0, fp1...): the bit pattern, as a long, of the fingerprint of each kind (shingle, repeats). Null texts count as empty."""
 
-    @F.pandas_udf("long")
-    def compute(texts):
-        return texts.map(lambda t: _signed(simhash(t, shingle)))
+    def compute(batches):
+        for batch in batches:
+            texts = [x.as_buffer() for x in batch.column(1)]
+            texts = [b"" if x is None else x.to_pybytes() for x in texts]
+            fps = [pa.array([_signed(simhash(t, n, repeats=r)) for t in texts], pa.int64()) for n, r in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *fps], ["doc_id", *names])
 
+    names = [f"fp{i}" for i in range(len(kinds))]
     binary = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col).alias("doc_id"), compute(binary).alias("fp"), *keep)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), binary.alias("t"))
+    return rows.mapInArrow(compute, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _signed(x: int) -> int:
@@ -130,33 +139,60 @@ def _cross(rows: np.ndarray, radius: int):
         yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest id that a chain of links reaches.
-
-    Fingerprints link at 3 or fewer differing bits. Equal fingerprints are merged first; links
-    within two bits come from radius-1 balls over all 64 bits, their classes from
-    components, and links at three bits between classes from radius-1 balls over halves
-    (the ball of radius 2 that three bits would need on whole words has 2,081 variants).
+def classes(fps: DataFrame) -> DataFrame:
+    """(fp, root): root is the smallest fingerprint that a chain of links of 3 or fewer bits reaches.
 
-    Null and empty texts have fingerprint 0 and link like any other. Null ids take no part
-    in the smallest id, unless a component has no other. A row repeated gets the same
-    component each time. An empty table gives an empty table.
+    ``fps`` has each fingerprint once. Links within two bits come from radius-1 balls over
+    all 64 bits, their classes from components, and links at three bits between classes
+    from radius-1 balls over halves (the ball of radius 2 that three bits would need on
+    whole words has 2,081 variants).
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    spark = docs.sparkSession
-    free_shuffles(spark)
-    fps = classes.select("fp")
+    spark = fps.sparkSession
     near = materialize(ball_links(fps), "simhash-balls")
-    label = components(near)
     free_shuffles(spark)
-    labelled = materialize(
-        fps.join(label.withColumnRenamed("a", "fp"), "fp", "left").select("fp", F.coalesce("b", "fp").alias("c")), "simhash-labels"
-    )
+    label = components(near)
+    joined = fps.join(label.withColumnRenamed("a", "fp"), "fp", "left")
+    labelled = materialize(joined.select("fp", F.coalesce("b", "fp").alias("c")), "simhash-labels")
     far = materialize(half_links(labelled), "simhash-halves")
     free_shuffles(spark)
     final = components(label.select("a", "b").union(far.select("a", "b")))
-    root = classes.join(final.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "least", F.coalesce("b", "fp").alias("root"))
-    roots = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = root.select("fp", F.col("root").alias("_r")).join(roots, F.col("_r") == roots.root).select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(final.withColumnRenamed("a", "fp"), "fp", "left").select("fp", F.coalesce("b", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple = ((3, True),)) -> DataFrame:
+    """(doc_id, fp0, ..., component_id): component_id is the smallest id that a chain of links reaches.
+
+    Fingerprints link at 3 or fewer differing bits; equal ones are merged first. With more
+    than one kind of fingerprint, a link of any kind links.
+
+    Null and empty texts have fingerprint 0 and link like any other. Null ids take no part
+    in the smallest id, unless a component has no other. A row repeated gets the same
+    component each time. An empty table gives an empty table.
+    """
+    rows = materialize(fingerprints(docs, id_col, text_col, kinds), "simhash")
+    free_shuffles(docs.sparkSession)
+    out, roots = rows, []
+    for i in range(len(kinds)):
+        distinct = materialize(rows.select(F.col(f"fp{i}").alias("fp")).distinct(), "simhash-distinct")
+        found = materialize(classes(distinct), "simhash-classes")
+        out = out.join(found.select(F.col("fp").alias(f"fp{i}"), F.col("root").alias(f"_r{i}")), f"fp{i}")
+        roots.append(F.col(f"_r{i}"))
+    if len(kinds) > 1:
+        # classes of the first kind are joined by those of the others; both become nodes of one graph
+        out = materialize(out, "simhash-kinds")
+        nodes = [F.xxhash64(F.lit(i), r) for i, r in enumerate(roots)]
+        links = [out.select(nodes[0].alias("a"), n.alias("b")).distinct() for n in nodes[1:]]
+        merged = components(_union(links))
+        out = out.withColumn("_node", nodes[0]).join(merged.withColumnRenamed("a", "_node"), "_node", "left")
+        out = out.withColumn("_class", F.coalesce("b", "_node"))
+    else:
+        out = out.withColumn("_class", roots[0])
+    least = out.groupBy(F.col("_class").alias("_c")).agg(F.min("doc_id").alias("component_id"))
+    return out.join(least, F.col("_class") == F.col("_c")).select("doc_id", *[f"fp{i}" for i in range(len(kinds))], "component_id")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.union(p)
+    return whole
