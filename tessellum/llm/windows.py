@@ -26,7 +26,7 @@ from .classifier import _SPACE, _mix, _tables
 PIECE = 1 << 20
 _LOW = np.uint64(PIECE - 1)
 #: Anchors of more different superwindows than this are split by window content.
-WIDE = 256
+WIDE = 16
 ROW = "d long, h long, start long, n int, off int, anchor long, c long"
 _COLUMNS = ["d", "h", "start", "n", "off", "anchor", "c"]
 
