@@ -18,52 +18,43 @@ class WordTokenizer:
 
     The tokenizer drops white space and never joins across it, so a text's ids are those
     of its chunks. A letter followed by one final mark is two pieces of its own as well.
-    The table is dropped at ``most`` chunks; it is a cache only.
+    The table is a cache of two generations of ``most`` chunks: what is still used when the
+    younger is full moves on, the rest is forgotten.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self._of, self._most = Tokenizer.from_file(path), most
-        self._clear()
+        self._ids: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
-    def _clear(self) -> None:
-        self._no: dict[str, int] = {}
-        self._ids: list[np.ndarray] = []
-        self._ends: list[bool] = []
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._of.encode_batch(words, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        stems = [w[:-1] if len(w) > 1 and w[-1] in ".,!?;:" and w[-2].isalpha() else None for w in words]
-        encode = lambda xs: [np.array(e.ids, np.uint32) for e in self._of.encode_batch(xs, add_special_tokens=False)]
-        plain = [s for s in dict.fromkeys(s if s is not None else w for s, w in zip(stems, words, strict=True)) if s not in self._no]
-        for w, ids in zip(plain, encode(plain), strict=True):
-            self._add(w, ids)
-        for w, s in zip(words, stems, strict=True):
-            if s is not None:
-                mark = w[-1]
-                if mark not in self._no:
-                    self._add(mark, encode([mark])[0])
-                self._add(w, np.concatenate([self._ids[self._no[s]], self._ids[self._no[mark]]]))
-
-    def _add(self, word: str, ids: np.ndarray) -> None:
-        self._no[word] = len(self._ids)
-        self._ids.append(ids)
-        self._ends.append(word[-1:] in ".!?")
+        known, older = self._ids, self._older
+        known.update((w, older[w]) for w in words if w in older)
+        words = [w for w in words if w not in known]
+        stems = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in ".,!?;:" and w[-2].isalpha()}
+        plain = list(dict.fromkeys(x for w in words for x in ((stems[w], w[-1]) if w in stems else (w,)) if x not in known))
+        known.update(zip(plain, self._encode(plain), strict=True))
+        for w, stem in stems.items():
+            known[w] = known[stem] + known[w[-1]]
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids, positions after which a sentence ends)."""
         words = text.split()
-        if len(self._no) > self._most:
-            self._clear()
-        no = self._no
-        if missing := [w for w in dict.fromkeys(words) if w not in no]:
-            self._learn(missing)
-        at = [no[w] for w in words]
-        if not at:
-            return np.empty(0, np.uint32), np.empty(0, np.int64)
-        parts = [self._ids[i] for i in at]
-        ends = np.cumsum([len(p) for p in parts])
-        return np.concatenate(parts), ends[np.fromiter((self._ends[i] for i in at), bool, len(at))]
+        if len(self._ids) > self._most:
+            self._older, self._ids = self._ids, {}
+        try:
+            parts = [self._ids[w] for w in words]
+        except KeyError:
+            self._learn([w for w in dict.fromkeys(words) if w not in self._ids])
+            parts = [self._ids[w] for w in words]
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) >> 2
+        last = [i for i, w in enumerate(words) if w[-1] in ".!?"]
+        return np.frombuffer(b"".join(parts), "<u4"), ends[last] if last else np.empty(0, np.int64)
 
 
 def plan_cuts(doc_ends: np.ndarray, soft: np.ndarray, width: int, soft_cost: int = 16, hard_cost: int = 48, grid: int = 64) -> list[int]:
