@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import deque
 
 import numpy as np
@@ -13,45 +15,53 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+_MARK = re.compile(r"(?<=[A-Za-z])([.,!?;:])(?=\s|$)")
+
+
 class WordTokenizer:
     """Ids of whole texts, through a table of white-space separated chunks.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those
-    of its chunks. A letter followed by one final mark is two pieces of its own as well.
-    The table is a cache of two generations of ``most`` chunks: what is still used when the
-    younger is full moves on, the rest is forgotten.
+    The tokenizer lower-cases, drops white space and never joins across it or between a
+    letter and a mark, so a text's ids are those of its chunks, and a mark after a letter
+    is a chunk of its own. The table is a cache of two generations of ``most`` chunks: what
+    is still used when the younger is full moves on, the rest is forgotten.
     """
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self._of, self._most = Tokenizer.from_file(path), most
         self._ids: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._of.encode_batch(words, add_special_tokens=False)]
-
     def _learn(self, words: list[str]) -> None:
         known, older = self._ids, self._older
-        known.update((w, older[w]) for w in words if w in older)
-        words = [w for w in words if w not in known]
-        stems = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in ".,!?;:" and w[-2].isalpha()}
-        plain = list(dict.fromkeys(x for w in words for x in ((stems[w], w[-1]) if w in stems else (w,)) if x not in known))
-        known.update(zip(plain, self._encode(plain), strict=True))
-        for w, stem in stems.items():
-            known[w] = known[stem] + known[w[-1]]
+        new = []
+        for w in words:
+            if w in older:
+                known[w] = older[w]
+            else:
+                new.append(w)
+        for w, e in zip(new, self._of.encode_batch(new, add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids, positions after which a sentence ends)."""
-        words = text.split()
+        if text.isascii():
+            text = text.lower()
+        text = _MARK.sub(r" \1", text)
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, signs to the tokenizer
+            words = [w for w in re.split(r"[ \t-\r]+", text) if w]
+        else:
+            words = text.split()
         if len(self._ids) > self._most:
             self._older, self._ids = self._ids, {}
+        known = self._ids
         try:
-            parts = [self._ids[w] for w in words]
+            parts = [known[w] for w in words]
         except KeyError:
-            self._learn([w for w in dict.fromkeys(words) if w not in self._ids])
-            parts = [self._ids[w] for w in words]
+            self._learn([w for w in dict.fromkeys(words) if w not in known])
+            parts = [known[w] for w in words]
         ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) >> 2
         last = [i for i, w in enumerate(words) if w[-1] in ".!?"]
         return np.frombuffer(b"".join(parts), "<u4"), ends[last] if last else np.empty(0, np.int64)
