@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-_MARK = re.compile(r"(?<=[A-Za-z])([.,!?;:])(?=\s|$)")
+_MARK = re.compile(r"([.,!?;:])(?<=[A-Za-z].)(?=\s|$)")
 
 
 class WordTokenizer:
@@ -27,12 +26,13 @@ class WordTokenizer:
     is still used when the younger is full moves on, the rest is forgotten.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self._of, self._most = Tokenizer.from_file(path), most
         self._ids: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
+        self._ends = [np.uint32(self._of.encode(mark, add_special_tokens=False).ids[-1]) for mark in ".!?"]
 
     def _learn(self, words: list[str]) -> None:
         known, older = self._ids, self._older
@@ -57,14 +57,17 @@ class WordTokenizer:
         if len(self._ids) > self._most:
             self._older, self._ids = self._ids, {}
         known = self._ids
-        try:
-            parts = [known[w] for w in words]
-        except KeyError:
-            self._learn([w for w in dict.fromkeys(words) if w not in known])
-            parts = [known[w] for w in words]
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) >> 2
-        last = [i for i, w in enumerate(words) if w[-1] in ".!?"]
-        return np.frombuffer(b"".join(parts), "<u4"), ends[last] if last else np.empty(0, np.int64)
+        parts = list(map(known.get, words))
+        if None in parts:
+            holes = [i for i, p in enumerate(parts) if p is None]
+            self._learn(list(dict.fromkeys(words[i] for i in holes)))
+            for i in holes:
+                parts[i] = known[words[i]]
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        end = ids == self._ends[0]
+        for e in self._ends[1:]:
+            end |= ids == e
+        return ids, np.flatnonzero(end) + 1
 
 
 def plan_cuts(doc_ends: np.ndarray, soft: np.ndarray, width: int, soft_cost: int = 16, hard_cost: int = 48, grid: int = 64) -> list[int]:
@@ -92,22 +95,25 @@ def plan_cuts(doc_ends: np.ndarray, soft: np.ndarray, width: int, soft_cost: int
     index[points] = np.arange(len(points))
     powers = [1 << k for k in range(width.bit_length()) if 1 << k <= width]
     back = {p: index[np.maximum(points - p, 0)] * (points >= p) - (points < p) for p in powers}
-    steps = np.stack([back[p] for p in powers], axis=1).tolist()
-    best, prev = [0.0] * len(at), [0] * len(at)
-    queue: deque[int] = deque([0])
-    lead = [0.0] * len(at)  # best[i] + i
+    table = np.stack([back[p] for p in powers], axis=1)
+    first = np.concatenate([[0], np.cumsum((table >= 0).sum(axis=1))]).tolist()
+    steps = table[table >= 0].tolist()  # those of point j at first[j] : first[j + 1]
+    best, prev = [0] * len(at), [0] * len(at)
+    lead, queue, head = [0] * len(at), [0], 0  # best[i] + i; the monotone queue
     for j in range(1, len(at)):
         x = at[j]
-        while at[queue[0]] < x - width:
-            queue.popleft()
-        i = queue[0]
+        while at[queue[head]] < x - width:
+            head += 1
+        i = queue[head]
         least = lead[i] + width - x
-        for k in steps[j]:
-            if k >= 0 and best[k] < least:
-                least, i = best[k], k
-        best[j], prev[j] = least + price[j], i
-        lead[j] = best[j] + x
-        while queue and lead[queue[-1]] >= lead[j]:
+        if first[j] != first[j + 1]:
+            for k in steps[first[j] : first[j + 1]]:
+                if best[k] < least:
+                    least, i = best[k], k
+        least += price[j]
+        best[j], prev[j] = least, i
+        lead[j] = here = least + x
+        while len(queue) > head and lead[queue[-1]] >= here:
             queue.pop()
         queue.append(j)
     cuts, j = [], len(at) - 1
