@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-_MARK = re.compile(r"([.,!?;:])(?<=[A-Za-z].)(?=\s|$)")
+_MARK = re.compile(r"([.,!?;:])(?<=[^\W\d_].)(?=\s|$)")
+#: Beyond Latin letters, whose case and composition are the same to Python and to the tokenizer.
+_BEYOND = re.compile("[^\x00-\u012f\u0131-\u017f]")
 
 
 class WordTokenizer:
@@ -36,18 +38,16 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         known, older = self._ids, self._older
-        new = []
-        for w in words:
-            if w in older:
+        if older:
+            for w in older.keys() & words:
                 known[w] = older[w]
-            else:
-                new.append(w)
+        new = [w for w in words if w not in known]
         for w, e in zip(new, self._of.encode_batch(new, add_special_tokens=False), strict=True):
             known[w] = array("I", e.ids).tobytes()
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids, positions after which a sentence ends)."""
-        if text.isascii():
+        if text.isascii() or not _BEYOND.search(text):
             text = text.lower()
         text = _MARK.sub(r" \1", text)
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, signs to the tokenizer
