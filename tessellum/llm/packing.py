@@ -30,8 +30,12 @@ class WordTokenizer:
 
     def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self._of, self._most = Tokenizer.from_file(path), most
+        self._model = self._of.model
+        spelled = ByteLevel(add_prefix_space=False, use_regex=False)  # how the vocabulary writes bytes
+        self._bytes = {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x180) if chr(c).isalpha()}
         self._ids: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._ends = [np.uint32(self._of.encode(mark, add_special_tokens=False).ids[-1]) for mark in ".!?"]
@@ -42,7 +46,14 @@ class WordTokenizer:
             for w in older.keys() & words:
                 known[w] = older[w]
         new = [w for w in words if w not in known]
-        for w, e in zip(new, self._of.encode_batch(new, add_special_tokens=False), strict=True):
+        rest = []
+        for w in new:
+            # a run of small Latin letters passes the tokenizer's normaliser and splitter unchanged
+            if w.isalpha() and w.islower() and (w.isascii() or not _BEYOND.search(w)):
+                known[w] = array("I", [t.id for t in self._model.tokenize(w.translate(self._bytes))]).tobytes()
+            else:
+                rest.append(w)
+        for w, e in zip(rest, self._of.encode_batch(rest, add_special_tokens=False), strict=True):
             known[w] = array("I", e.ids).tobytes()
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -100,17 +111,20 @@ def plan_cuts(doc_ends: np.ndarray, soft: np.ndarray, width: int, soft_cost: int
     steps = table[table >= 0].tolist()  # those of point j at first[j] : first[j + 1]
     best, prev = [0] * len(at), [0] * len(at)
     lead, queue, head = [0] * len(at), [0], 0  # best[i] + i; the monotone queue
-    for j in range(1, len(at)):
-        x = at[j]
-        while at[queue[head]] < x - width:
+    far = np.searchsorted(points, points - width).tolist()  # the first point that a window ending at j may start at
+    j, last = 0, first[1]
+    for x, cost_here, nearest, stop in zip(at[1:], price[1:], far[1:], first[2:], strict=True):
+        j += 1
+        while queue[head] < nearest:
             head += 1
         i = queue[head]
         least = lead[i] + width - x
-        if first[j] != first[j + 1]:
-            for k in steps[first[j] : first[j + 1]]:
+        if last != stop:
+            for k in steps[last:stop]:
                 if best[k] < least:
                     least, i = best[k], k
-        least += price[j]
+            last = stop
+        least += cost_here
         best[j], prev[j] = least, i
         lead[j] = here = least + x
         while len(queue) > head and lead[queue[-1]] >= here:
