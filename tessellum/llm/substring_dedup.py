@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from . import windows as W
 from .common import drop_path, free_shuffles, materialize, new_path
 
-_RUN = F.col("runs")
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 LAST = (1 << 63) - 1
 
@@ -57,7 +56,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled = materialize(W.settle(contents, window, 1, False), "repeat-runs")
     free_shuffles(spark)
 
-    some = F.transform(_RUN, lambda r: F.struct((F.col("start") + r["w"]).alias("s"), r["n"].alias("n")))
+    some = F.transform("runs", lambda r: F.struct((F.col("start") + r["w"]).alias("s"), r["n"].alias("n")))
     all_ = F.array(F.struct(F.col("start").alias("s"), F.col("n").alias("n")))
     found = open_.join(settled, ["anchor", "c"]).select("d", "h", some.alias("runs")).union(met.where(~F.col("open")).select("d", "h", all_.alias("runs")))
     return _spread(texts, found, window).select(F.when(F.col("d") != -LAST - 1, F.col("d")).alias("doc_id"), "t", "spans")
@@ -151,7 +150,7 @@ class FingerprintIndex:
         free_shuffles(self.spark)
         settled = materialize(W.settle(contents, self.window, step, True), "index-runs")
         free_shuffles(self.spark)
-        earlier = F.filter(_RUN, lambda r: r["d"] < F.col("d"))
+        earlier = F.filter("runs", lambda r: r["d"] < F.col("d"))
         some = F.transform(earlier, lambda r: F.struct((F.col("start") + r["w"]).alias("s"), r["n"].alias("n")))
         all_ = F.array(F.struct(F.col("start").alias("s"), F.col("n").alias("n")))
         return open_.join(settled, ["anchor", "c"]).select("d", "h", some.alias("runs")).where(F.size("runs") > 0).union(
