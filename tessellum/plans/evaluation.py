@@ -109,3 +109,19 @@ def lengths(q):
 def histogram(q):
     """AGG29: counts in fixed buckets."""
     return f"SELECT event_type, CASE WHEN value <= 50 THEN 50 WHEN value <= 100 THEN 100 WHEN value <= 500 THEN 500 ELSE 180000 END AS bucket, count(*) AS n FROM {q.table('events')} GROUP BY event_type, CASE WHEN value <= 50 THEN 50 WHEN value <= 100 THEN 100 WHEN value <= 500 THEN 500 ELSE 180000 END"
+
+
+@statement("promotion_gate", "golden")
+def promotion(q):
+    """RNK19, AGG25, WIN12: a run is promoted at accuracy .6 or more and within .02 of the best run before."""
+    run = "CAST(floor(id / 50) AS BIGINT)"
+    return f"""WITH r AS (SELECT {run} AS run, round(avg(CASE WHEN expected = predicted THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM {q.table("golden")} GROUP BY {run}),
+      b AS (SELECT run, accuracy, max(accuracy) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS baseline FROM r)
+      SELECT run, accuracy, accuracy >= 0.6 AND (baseline IS NULL OR accuracy >= baseline - 0.02) AS promoted FROM b"""
+
+
+@statement("set_operations", "entry", "claim")
+def set_operations(q):
+    """SET6: entries with claims and without, by intersection and difference."""
+    e, c = q.table("entry"), q.table("claim")
+    return f"SELECT 'both' AS part, count(*) AS n FROM (SELECT id FROM {e} INTERSECT SELECT entry_id FROM {c}) x UNION ALL SELECT 'entries-only', count(*) FROM (SELECT id FROM {e} EXCEPT SELECT entry_id FROM {c}) y"

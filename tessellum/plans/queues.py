@@ -52,3 +52,17 @@ def requeue(q):
     return f"""WITH f AS (SELECT DISTINCT entry_id AS claim_id FROM {q.table("feedback")} WHERE signal = 'negative')
       SELECT coalesce(o.claim_id, f.claim_id) AS claim_id, CASE WHEN f.claim_id IS NULL THEN o.priority ELSE greatest(coalesce(o.priority, 0), 100) END AS priority,
       CASE WHEN f.claim_id IS NULL THEN o.attempts ELSE 0 END AS attempts FROM {q.table("queue")} o FULL OUTER JOIN f ON o.claim_id = f.claim_id"""
+
+
+@statement("enrichment_status", "feedback")
+def enrichment(q):
+    """RNK16-17: a report that held or is strong needs nothing; weak failures on trusted claims wait for the reporter, the rest is final."""
+    return f"""SELECT id, CASE WHEN event_type = 'purchase' OR s >= 0.8 THEN 'not-needed' WHEN event_type IN ('error', 'click') AND id % 20 >= 10 THEN 'awaiting-pull' ELSE 'finalized-inferred' END AS status
+      FROM (SELECT id, event_type, value / 100.0 AS s FROM {q.table("feedback")}) x"""
+
+
+@statement("yearly_rollover", "queue")
+def rollover(q):
+    """SRC3: rows by year of arrival, which partitions the stored table."""
+    year = f"CAST(floor((queued_s - {694224000}) / 31557600.0) AS BIGINT) + 1992"
+    return f"SELECT {year} AS year, count(*) AS n, min(queued_s) AS first_s, max(queued_s) AS last_s FROM {q.table('queue')} GROUP BY {year}"
