@@ -58,6 +58,22 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables in the shared folder, dropped together once what was made of them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, what: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, what))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self) -> None:
+        while self.paths:
+            drop_path(self.spark, self.paths.pop())
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()

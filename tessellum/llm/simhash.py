@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialize
+from .common import Scratch, free_shuffles, materialize
 from .components import components
 
 BITS = 64
@@ -41,14 +41,14 @@ def simhash(text: bytes, shingle: int = 3, seed: int = 42, repeats: bool = True)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple = ((3, True),)) -> DataFrame:
-    """(doc_id, fp0, fp1...): the bit pattern, as a long, of the fingerprint of each kind (shingle, repeats). Null texts count as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple = ((3, True, 42),)) -> DataFrame:
+    """(doc_id, fp0, fp1...): the bit pattern, as a long, of the fingerprint of each kind (shingle, repeats, seed). Null texts count as empty."""
 
     def compute(batches):
         for batch in batches:
             texts = [x.as_buffer() for x in batch.column(1)]
             texts = [b"" if x is None else x.to_pybytes() for x in texts]
-            fps = [pa.array([_signed(simhash(t, n, repeats=r)) for t in texts], pa.int64()) for n, r in kinds]
+            fps = [pa.array([_signed(simhash(t, n, seed, r)) for t in texts], pa.int64()) for n, r, seed in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *fps], ["doc_id", *names])
 
     names = [f"fp{i}" for i in range(len(kinds))]
@@ -148,18 +148,22 @@ def classes(fps: DataFrame) -> DataFrame:
     whole words has 2,081 variants).
     """
     spark = fps.sparkSession
-    near = materialize(ball_links(fps), "simhash-balls")
+    scratch = Scratch(spark)
+    near = scratch.write(ball_links(fps), "simhash-balls")
     free_shuffles(spark)
     label = components(near)
     joined = fps.join(label.withColumnRenamed("a", "fp"), "fp", "left")
-    labelled = materialize(joined.select("fp", F.coalesce("b", "fp").alias("c")), "simhash-labels")
-    far = materialize(half_links(labelled), "simhash-halves")
+    labelled = scratch.write(joined.select("fp", F.coalesce("b", "fp").alias("c")), "simhash-labels")
+    far = scratch.write(half_links(labelled), "simhash-halves")
     free_shuffles(spark)
     final = components(label.select("a", "b").union(far.select("a", "b")))
-    return fps.join(final.withColumnRenamed("a", "fp"), "fp", "left").select("fp", F.coalesce("b", "fp").alias("root"))
+    roots = fps.join(final.withColumnRenamed("a", "fp"), "fp", "left").select("fp", F.coalesce("b", "fp").alias("root"))
+    roots = materialize(roots, "simhash-classes")
+    scratch.drop()
+    return roots
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple = ((3, True),)) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple = ((3, True, 42),)) -> DataFrame:
     """(doc_id, fp0, ..., component_id): component_id is the smallest id that a chain of links reaches.
 
     Fingerprints link at 3 or fewer differing bits; equal ones are merged first. With more
@@ -173,8 +177,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     free_shuffles(docs.sparkSession)
     out, roots = rows, []
     for i in range(len(kinds)):
-        distinct = materialize(rows.select(F.col(f"fp{i}").alias("fp")).distinct(), "simhash-distinct")
-        found = materialize(classes(distinct), "simhash-classes")
+        scratch = Scratch(docs.sparkSession)
+        found = classes(scratch.write(rows.select(F.col(f"fp{i}").alias("fp")).distinct(), "simhash-distinct"))
+        scratch.drop()
         out = out.join(found.select(F.col("fp").alias(f"fp{i}"), F.col("root").alias(f"_r{i}")), f"fp{i}")
         roots.append(F.col(f"_r{i}"))
     if len(kinds) > 1:
