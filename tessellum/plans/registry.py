@@ -53,4 +53,4 @@ def frame(name: str, sql: str | None = None, *tables: str):
     return add
 
 
-from . import evaluation, graph, queues, retrieval, scoring, streams, text, vectors, verification  # noqa: E402, F401
+from . import evaluation, graph, queues, retrieval, scoring, shaping, streams, text, vectors, verification  # noqa: E402, F401
