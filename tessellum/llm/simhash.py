@@ -41,15 +41,61 @@ def simhash(text: bytes, shingle: int = 3, seed: int = 42, repeats: bool = True)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+class WordDigests:
+    """XXH64s of words by several seeds; short words seen before are looked up in a table of bounded size."""
+
+    def __init__(self, seeds: tuple, most: int = 1 << 16, longest: int = 32):
+        self.seeds, self.most, self.longest = seeds, most, longest
+        self.rows, self.table = {}, np.zeros((most, len(seeds)), np.uint64)
+
+    def _digest(self, word: bytes) -> list[int]:
+        return [xxhash.xxh64_intdigest(word, s) for s in self.seeds]
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """One row of digests for each of at most ``most`` words."""
+        rows, table, long_ = self.rows, self.table, []
+        if len(rows) + len(words) > self.most:
+            rows.clear()
+        at = []
+        for w in words:
+            i = rows.get(w)
+            if i is None:
+                if len(w) > self.longest:
+                    long_.append(self._digest(w))
+                    continue
+                i = rows[w] = len(rows)
+                table[i] = self._digest(w)
+            at.append(i)
+        found = table[at]
+        return np.concatenate([found, np.array(long_, np.uint64)]) if long_ else found
+
+    def simhash(self, text: bytes) -> list[int]:
+        """For each seed, ``simhash`` of the set of words."""
+        words = list(set(text.lower().split()))
+        ones = np.zeros(BITS * len(self.seeds), np.int64)
+        step = self.most // 2
+        for i in range(0, len(words), step):
+            h = np.ascontiguousarray(self.of(words[i : i + step])).view(np.uint8)
+            ones += np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return np.packbits(2 * ones > len(words), bitorder="little").view(np.int64).tolist()
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple = ((3, True, 42),)) -> DataFrame:
     """(doc_id, fp0, fp1...): the bit pattern, as a long, of the fingerprint of each kind (shingle, repeats, seed). Null texts count as empty."""
 
+    seeds = tuple(seed for _, repeats, seed in kinds if not repeats)
+
     def compute(batches):
+        digests = WordDigests(seeds) if seeds else None
         for batch in batches:
             texts = [x.as_buffer() for x in batch.column(1)]
-            texts = [b"" if x is None else x.to_pybytes() for x in texts]
-            fps = [pa.array([_signed(simhash(t, n, seed, r)) for t in texts], pa.int64()) for n, r, seed in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *fps], ["doc_id", *names])
+            fps = []
+            for x in texts:
+                t = b"" if x is None else x.to_pybytes()
+                sets = iter(digests.simhash(t) if seeds else ())
+                fps.append([_signed(simhash(t, n, seed)) if repeats else next(sets) for n, repeats, seed in kinds])
+            columns = [pa.array([f[i] for f in fps], pa.int64()) for i in range(len(kinds))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
 
     names = [f"fp{i}" for i in range(len(kinds))]
     binary = F.coalesce(F.col(text_col), F.lit("")).cast("binary")

@@ -152,6 +152,14 @@ def test_simhash(docs, rows, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_word_set_fingerprints_at_once(rows):
+    seeds = (42, 43, 44)
+    digests = simhash.WordDigests(seeds, most=64, longest=6)
+    texts = [(r[1] or "").encode() for r in rows] + [b"", b"one", b" ".join(b"w%d" % i for i in range(500))]
+    for t in texts:
+        assert [x % (1 << 64) for x in digests.simhash(t)] == [simhash.simhash(t, 1, s, False) for s in seeds]
+
+
 def test_links_at_three_bits_and_chains(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(63) for _ in range(40)]
