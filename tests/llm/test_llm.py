@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessellum.llm import classifier, components, exact_dedup, mixing, packing, quality_rules, sharding, simhash, substring_dedup, warc, windows
+from tessellum.llm import classifier, components, exact_dedup, mixing, packing, quality_rules, sharding, simhash, similarity, substring_dedup, warc, windows
 from tessellum.llm.common import new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -375,3 +375,48 @@ def test_oracles_name_queries():
 
     assert set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 11
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_near_copies_are_all_pairs_at_eight_tenths_and_no_others(spark):
+    rng = random.Random(11)
+    say = lambda k: [f"w{rng.randrange(3000)}" for _ in range(k)]
+    passage, texts = say(46), []
+    for k in [*range(1, 30), *([60] * 25), *([150] * 25), *([400] * 15), 3000]:
+        base = say(k)
+        texts.append(base)
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rng.randint(1, max(1, k // 22))):
+                i = rng.randrange(len(w) + 1)
+                w[i : i + rng.randint(0, 1)] = say(rng.randint(0, 1))
+            texts.append(w)
+    texts += [passage + say(rng.randint(8, 16)) for _ in range(60)] + [["x"] * 7, ["x"] * 300, [], list("abcd"), list("dcba")]
+    # the same words in another order: word sets are equal, no shingle is
+    words = say(80)
+    texts += [words, words[::-1]]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    rows = [(i, " ".join(texts[j]), "en", "src0", 0) for i, j in enumerate(order)]
+    sets = [similarity.shingles(r[1].encode()) for r in rows]
+    parent, near, far = list(range(len(rows))), 0, 0
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            share = len(sets[i] & sets[j]) / union if union else 1
+            near, far = near + (0.8 <= share < 1), far + (0.6 <= share < 0.8)
+            if share >= 0.8:
+                parent[find(i)] = find(j)
+                a, b = (set(similarity._keys(similarity._digests(rows[x][1].encode())).tolist()) for x in (i, j))
+                assert a & b
+    assert near > 60 and far > 60
+    least = {}
+    for i in range(len(rows)):
+        least[find(i)] = min(least.get(find(i), i), i)
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, SCHEMA).repartition(5), "")
+    assert {r.doc_id for r in got.collect()} == set(least.values())
