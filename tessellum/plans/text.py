@@ -104,7 +104,10 @@ def windows(q):
     return f"SELECT doc_id, CAST(s AS BIGINT) AS start, CAST(least(8000, length(text) - s) AS BIGINT) AS size FROM (SELECT doc_id, text, CAST(greatest(0, length(text) - 501) / 7500 AS BIGINT) AS last FROM {q.table('documents')}) d {q.unnest(q.numbers('0', '7500 * CAST(floor(greatest(0, length(text) - 501) / 7500.0) AS INT)', 7500), 's')}"
 
 
-QUERIES["slugify"] = lambda spark, d: load(spark, d, "documents").selectExpr("doc_id", "substr(text, 1, 80) AS t").select("doc_id", fn.slugify("t").alias("slug"))
+QUERIES["slugify"] = lambda spark, d: load(spark, d, "documents").select("doc_id", fn.slugify("text").alias("slug"))
+# the whole of what claim_key_gate and normalize_title do on a text's first characters
+QUERIES["claim_key_whole"] = lambda spark, d: load(spark, d, "documents").select("doc_id", fn.mapped(fn.key_of, "text").alias("key")).where("length(key) >= 8")
+QUERIES["normalize_title_derived"] = lambda spark, d: QUERIES["derive_title"](spark, d).select("doc_id", fn.mapped(fn.title_of, "title").alias("title"))
 QUERIES["chunks_recursive"] = lambda spark, d: fn.chunks(load(spark, d, "documents"), "doc_id", "text")
 
 # Canonical predicates and what is folded into them.

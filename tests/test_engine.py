@@ -74,3 +74,21 @@ def test_split_text_and_slug():
 
 def test_decimal_literals_become_doubles_outside_quotes():
     assert doubles("x > 0.5 AND y = '0.5' AND z RLIKE r'1.5'") == "x > 0.5e0 AND y = '0.5' AND z RLIKE r'1.5'"
+
+
+@pytest.fixture
+def long_texts(spark, tmp_path):
+    head = "same opening words " * 20
+    rows = [(0, head + "one"), (1, head + "two"), (2, "-" * 300 + " Words, after MARKS"), (3, "# A Title: of one line\n" + head), (4, None), (5, "ﬁne_Print")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path), head
+
+
+def test_slugs_and_keys_are_of_whole_texts(spark, long_texts):
+    path, head = long_texts
+    slugs = {r.doc_id: r.slug for r in registry.QUERIES["slugify"](spark, path).collect()}
+    assert slugs[0] == head.replace(" ", "-") + "one" and slugs[1].endswith("-two") and slugs[2] == "words-after-marks"
+    keys = {r.doc_id: r.key for r in registry.QUERIES["claim_key_whole"](spark, path).collect()}
+    assert keys == {0: head + "one", 1: head + "two", 2: "words after marks", 3: "a title of one line " + head.strip(), 5: "fine print"}
+    titles = {r.doc_id: r.title for r in registry.QUERIES["normalize_title_derived"](spark, path).collect()}
+    assert titles[3] == "a title of one line"
