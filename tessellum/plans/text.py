@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions import text as fn
 from ..sources.bindings import load
-from .registry import QUERIES, statement
+from .registry import QUERIES, frame, statement
 
 NEGATION = r"(?i)\b(not|no|never|none|neither|nor|without|isn't|aren't|wasn't|weren't|don't|doesn't|didn't|won't|can't|cannot|shouldn't|wouldn't)\b"
 NUMERIC = {"year": r"\b(?:19|20|21)[0-9]{2}\b", "version": r"\bv?[0-9]+\.[0-9]+(?:\.[0-9]+)?\b", "percentage": r"[0-9]+(?:\.[0-9]+)? ?%", "money": r"[$€£¥₩][0-9][0-9,.]*"}
@@ -108,8 +110,20 @@ QUERIES["slugify"] = lambda spark, d: load(spark, d, "documents").select("doc_id
 # the whole of what claim_key_gate and normalize_title do on a text's first characters
 QUERIES["claim_key_whole"] = lambda spark, d: load(spark, d, "documents").select("doc_id", fn.mapped(fn.key_of, "text").alias("key")).where("length(key) >= 8")
 QUERIES["normalize_title_derived"] = lambda spark, d: QUERIES["derive_title"](spark, d).select("doc_id", fn.mapped(fn.title_of, "title").alias("title"))
+QUERIES["numeric_facts_canonical"] = lambda spark, d: load(spark, d, "documents").select("doc_id", fn.numbers("text").alias("n")).selectExpr(
+    "doc_id", *[f"array_join(n.{k}, ',') AS {k}" for k in ("year", "version", "percentage", "scale", "money")]
+)
 QUERIES["chunks_recursive"] = lambda spark, d: fn.chunks(load(spark, d, "documents"), "doc_id", "text")
 
+
+@frame("numeric_contradiction_canonical")
+def contradiction_canonical(spark, sf_dir):
+    """FLT26: a number of a text clashes, in canonical form, with those of its kind in the next."""
+    found = load(spark, sf_dir, "documents").select("doc_id", fn.numbers("text").alias("n"))
+    a, b = found.select("doc_id", F.col("n").alias("claim")), found.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n").alias("source"))
+    return a.join(b, "doc_id").select("doc_id", fn.contradicts("claim", "source").alias("contradicts"))
+
+
 # Canonical predicates and what is folded into them.
 PREDICATES = {
     "is_a": ["is", "is_an", "is_a_kind_of", "type_of", "instance_of"], "runs_on": ["uses", "powered_by", "built_on", "built_with", "based_on"],

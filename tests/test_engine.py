@@ -92,3 +92,14 @@ def test_slugs_and_keys_are_of_whole_texts(spark, long_texts):
     assert keys == {0: head + "one", 1: head + "two", 2: "words after marks", 3: "a title of one line " + head.strip(), 5: "fine print"}
     titles = {r.doc_id: r.title for r in registry.QUERIES["normalize_title_derived"](spark, path).collect()}
     assert titles[3] == "a title of one line"
+
+
+def test_numbers_are_compared_in_canonical_form(spark, tmp_path):
+    pairs = [("a 770M model", "a 7B model", True), ("40 k rows", "40K rows", False), ("v1.2 is out", "1.2 is out", False), ("5 % of it", "5% of it", False),
+             ("costs $5M", "costs $5B", True), ("costs $5M", "paid $5M", False), ("in 1999 and 2004", "in 2004", True), ("in 2004", "in 1999 and 2004", False), ("in 2004", "7B", False)]
+    rows = [(10 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p[:2])]
+    spark.createDataFrame([*rows, (500, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.contradicts for r in registry.QUERIES["numeric_contradiction_canonical"](spark, str(tmp_path)).collect()}
+    assert got == {10 * i: p[2] for i, p in enumerate(pairs)}
+    facts = {r.doc_id: r for r in registry.QUERIES["numeric_facts_canonical"](spark, str(tmp_path)).collect()}
+    assert facts[0].scale == "770M" and facts[10].scale == "40K" and facts[20].version == "1.2" and facts[40].money == "$5M" and facts[500].year == ""
