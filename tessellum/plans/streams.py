@@ -6,5 +6,5 @@ from ..streaming import windows as st
 from .registry import QUERIES
 
 QUERIES["stream_hourly_feedback"] = lambda spark, d: st.drain(st.hourly(st.events(spark, d)), "complete")
-QUERIES["stream_session_users"] = lambda spark, d: st.drain(st.sessions(st.events(spark, d)), "append")
+QUERIES["stream_session_users"] = lambda spark, d: st.drain(st.sessions(st.events(spark, d)), "complete")
 QUERIES["stream_dedup_events"] = lambda spark, d: st.drain(st.distinct_events(st.events(spark, d)), "append")

@@ -25,7 +25,7 @@ def hourly(stream: DataFrame) -> DataFrame:
 
 
 def sessions(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Sessions of each user, closed by the watermark."""
+    """Sessions of each user; drained in complete mode, those still open at the end of the input are among them."""
     out = stream.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("session_window.start").alias("from"), F.col("session_window.end").alias("to"), "n")
 

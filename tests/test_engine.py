@@ -103,3 +103,19 @@ def test_numbers_are_compared_in_canonical_form(spark, tmp_path):
     assert got == {10 * i: p[2] for i, p in enumerate(pairs)}
     facts = {r.doc_id: r for r in registry.QUERIES["numeric_facts_canonical"](spark, str(tmp_path)).collect()}
     assert facts[0].scale == "770M" and facts[10].scale == "40K" and facts[20].version == "1.2" and facts[40].money == "$5M" and facts[500].year == ""
+
+
+def test_sessions_cover_the_whole_table(spark):
+    rows = spark.read.parquet(f"{SF}/events.parquet").selectExpr("user_id", "CAST(ts AS TIMESTAMP) AS ts").collect()
+    times, expected = {}, []
+    for r in rows:
+        times.setdefault(r.user_id, []).append(r.ts.timestamp())
+    for user, ts in times.items():
+        for t in sorted(ts):
+            if expected and expected[-1][0] == user and t <= expected[-1][2]:
+                expected[-1][2], expected[-1][3] = t + 1800, expected[-1][3] + 1
+            else:
+                expected.append([user, t, t + 1800, 1])
+    got = registry.QUERIES["stream_session_users"](spark, SF).collect()
+    assert sorted([r.user_id, r["from"].timestamp(), r["to"].timestamp(), r.n] for r in got) == sorted(expected)
+    assert sum(r.n for r in got) == len(rows)
