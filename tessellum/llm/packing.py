@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-_MARK = re.compile(r"([.,!?;:])(?<=[^\W\d_].)(?=\s|$)")
+#: A mark between a Latin letter and white space. Other letters may leave a combining sign when they are composed or
+#: lower-cased (U+0130, U+0958), which the tokenizer joins with the mark; those stay with it in one chunk.
+_MARK = re.compile("([.,!?;:])(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f].)(?=\\s|$)")
 #: Beyond Latin letters, whose case and composition are the same to Python and to the tokenizer.
 _BEYOND = re.compile("[^\x00-\u012f\u0131-\u017f]")
 
@@ -23,8 +25,8 @@ class WordTokenizer:
     """Ids of whole texts, through a table of white-space separated chunks.
 
     The tokenizer lower-cases, drops white space and never joins across it or between a
-    letter and a mark, so a text's ids are those of its chunks, and a mark after a letter
-    is a chunk of its own. The table is a cache of two generations of ``most`` chunks: what
+    letter and a mark, so a text's ids are those of its chunks, and a mark after a Latin
+    letter is a chunk of its own. The table is a cache of two generations of ``most`` chunks: what
     is still used when the younger is full moves on, the rest is forgotten.
     """
 
@@ -89,7 +91,8 @@ def plan_cuts(doc_ends: np.ndarray, soft: np.ndarray, width: int, soft_cost: int
     (soft) and ``hard_cost`` elsewhere, where one may stand at each multiple of ``grid``
     within a document. Minimises the sum: best[j] = cost of cut j + width - j + the least
     best[i] + i over the last ``width`` tokens, whose candidates stand in a monotone
-    queue; the powers of two are looked up one by one.
+    queue; the powers of two are looked up one by one. No documents give no cuts; empty
+    documents (repeated ends) are no windows. Of equal sums the longest window stands.
     """
     total = int(doc_ends[-1]) if len(doc_ends) else 0
     if not total:
@@ -148,10 +151,11 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    Documents are packed where they are scanned, in their order, in shards of about
-    ``shard_tokens`` tokens, so nothing is shuffled and a task holds one shard; a document
-    longer than that is a shard of its own. A sequence is padded to ``width`` unless its
-    length is a power of two. Null and empty texts are the end id alone; a row repeated is
+    Documents are packed where they are scanned, in their order, in shards that are closed
+    by the document that brings them to ``shard_tokens`` tokens, so nothing is shuffled and
+    a task holds one shard. Shards start anew at each partition of docs: sequence ids and
+    cuts are those of the partitions that a scan is split into, and the same on a rerun
+    with that split. A sequence is padded to ``width`` unless its length is a power of two. Null and empty texts are the end id alone; a row repeated is
     packed twice; a null id stays null. ``tokenizer`` is the vocabulary's file, or None
     for the installed word_bpe_49k.json.
     """

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, WORD, materialize
 
-#: Texts of more words than this pair whole hashes with positions instead of packing both in 64 bits.
-PACKED_WORDS = 1 << 17
 #: Host-level rules: a row fails each of these by itself; a host is turned down by the shrunk rate of its rows.
 RULES = ("base_failed", "symbols_failed", "lines_failed")
 
@@ -22,19 +20,19 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def with_repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
+def with_repeated_words(df: DataFrame, words: str, out: str, window_hash=F.xxhash64) -> DataFrame:
     """Adds the number of words in 3-word windows that the array ``words`` holds twice or more, the first included.
 
-    Each window is a 64-bit hash; the hashes are sorted together with their positions, so
-    equal windows meet as neighbours (n log n, however repetitive the text), and the
-    positions found are swept once for the words they cover.
+    The upper bits of each window's hash and its position are sorted as one number, so equal
+    windows meet as neighbours (n log n, however repetitive the text). Neighbours of equal
+    hash are compared word by word; a text in which two of them differ has its windows
+    sorted by their words instead, so no hash decides a count. The positions found are
+    swept once for the words that they cover. Null and short arrays have none.
     """
     w, n = F.col(words), F.size(words)
     bits = F.ceil(F.log2(F.greatest(n, F.lit(2)).cast("double"))).cast("int")
     starts = F.when(n > 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-
-    def window(i: Column) -> Column:
-        return F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    parts = lambda i: [F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)]
 
     def neighbours(of: str, key) -> Column:
         def same(x: Column, i: Column) -> Column:
@@ -42,21 +40,31 @@ def with_repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
 
         return F.filter(of, same)
 
-    packed = F.sort_array(F.transform(starts, lambda i: F.call_function("shiftleft", window(i), F.col("_bits")).bitwiseOR(i.cast("long"))))
-    pairs = F.array_sort(F.transform(starts, lambda i: F.struct(window(i).alias("h"), i.alias("i"))))
+    packed = F.sort_array(F.transform(starts, lambda i: F.call_function("shiftleft", window_hash(*parts(i)), F.col("_bits")).bitwiseOR(i.cast("long"))))
     low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1
+    hashed = lambda x: F.call_function("shiftright", x, F.col("_bits"))
+    at = lambda x: x.bitwiseAND(low).cast("int")
     df = once(df, "_bits", bits)
-    df = once(df, "_packed", F.when(n <= PACKED_WORDS, packed))
-    df = once(df, "_pairs", F.when(n > PACKED_WORDS, pairs))
-    at_packed = F.transform(neighbours("_packed", lambda x: F.call_function("shiftright", x, F.col("_bits"))), lambda x: x.bitwiseAND(low).cast("int"))
-    at_pairs = F.transform(neighbours("_pairs", lambda x: x["h"]), lambda x: x["i"])
+    df = once(df, "_packed", packed)
+    df = once(df, "_hits", neighbours("_packed", hashed))
+
+    def differ(i: Column) -> Column:
+        a, b = F.get("_hits", i - 1), F.get("_hits", i)
+        unequal = [x != y for x, y in zip(parts(at(a)), parts(at(b)), strict=True)]
+        return (hashed(a) == hashed(b)) & (unequal[0] | unequal[1] | unequal[2])
+
+    more = F.size("_hits") > 1
+    df = once(df, "_clash", F.when(more, F.exists(F.sequence(F.lit(1), F.size("_hits") - 1), differ)).otherwise(F.lit(False)))
+    spelled = F.array_sort(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", *parts(i)).alias("k"), i.alias("i"))))
+    df = once(df, "_spelled", F.when(F.col("_clash"), spelled))
+    found = F.when(F.col("_clash"), F.transform(neighbours("_spelled", lambda x: x["k"]), lambda x: x["i"])).otherwise(F.transform("_hits", at))
     zero = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("sum"))
     swept = F.aggregate(
-        F.sort_array(F.coalesce(at_packed, at_pairs)),
+        F.sort_array(found),
         zero,
         lambda a, x: F.struct(x.alias("last"), (a["sum"] + F.least(F.lit(3), x - a["last"]).cast("long")).alias("sum")),
     )
-    return df.withColumn(out, swept["sum"]).drop("_bits", "_packed", "_pairs")
+    return df.withColumn(out, F.coalesce(swept["sum"], F.lit(0).cast("long"))).drop("_bits", "_packed", "_hits", "_clash", "_spelled")
 
 
 def rule_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -228,22 +229,32 @@ def test_sainte_lague_is_by_highest_quotients(spark):
         assert got == expected
 
 
-def test_rule_counts(docs, rows, nothing, monkeypatch):
-    for limit in (quality_rules.PACKED_WORDS, 50):
-        monkeypatch.setattr(quality_rules, "PACKED_WORDS", limit)
-        got = quality_rules.quality_rules(docs).collect()
-        assert len(got) == len(rows)
-        text = {r[0]: r[1] or "" for r in rows}
-        for r in got:
-            w = re.findall(r"[^\x20\x09-\x0D]+", text[r.doc_id])
-            n = collections.Counter(zip(w, w[1:], w[2:], strict=False))
-            covered = {i + k for i in range(len(w) - 2) if n[w[i], w[i + 1], w[i + 2]] > 1 for k in range(3)}
-            lines = [x for x in text[r.doc_id].split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-            assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(covered), len(lines) - len(set(lines)))
-            assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and (not r.kept or not r.base_failed)
+def test_rule_counts(docs, rows, nothing):
+    got = quality_rules.quality_rules(docs).collect()
+    assert len(got) == len(rows)
+    text = {r[0]: r[1] or "" for r in rows}
+    for r in got:
+        w = re.findall(r"[^\x20\x09-\x0D]+", text[r.doc_id])
+        n = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {i + k for i in range(len(w) - 2) if n[w[i], w[i + 1], w[i + 2]] > 1 for k in range(3)}
+        lines = [x for x in text[r.doc_id].split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(covered), len(lines) - len(set(lines)))
+        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and (not r.kept or not r.base_failed)
     assert quality_rules.quality_rules(nothing).count() == 0
 
 
+def test_repeated_windows_don_t_rest_on_their_hash(spark):
+    rng = random.Random(8)
+    lists = [[], None, ["a"], ["a", "b", "c"], ["a"] * 7] + [rng.choices("abcd", k=rng.randint(3, 90)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(lists)), "id int, w array<string>")
+    weak = lambda a, b, c: F.pmod(F.xxhash64(a, b, c), F.lit(5)).cast("long")
+    for hash_ in (F.xxhash64, weak):
+        for r in quality_rules.with_repeated_words(df, "w", "n", hash_).collect():
+            w = lists[r.id] or []
+            n = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+            assert r.n == len({i + k for i in range(len(w) - 2) if n[w[i], w[i + 1], w[i + 2]] > 1 for k in range(3)})
+
+
 def test_warc_round_trip(spark):
     pages = [(1, "http://a/1", "<p>é</p>"), (2, "http://a/2", "<p>é</p>"), (3, None, None), (4, "http://a/4", ""), (5, "u\r\nX: y", "WARC/1.1\r\n\r\n" * 3), (5, "u", "z" * 300_000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit(0)).withColumn("payload", F.lit(1))
@@ -278,7 +289,7 @@ def test_packing(docs, rows, nothing):
     streams, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
         ids = np.frombuffer(bytes(r.ids), "<u4").tolist()
-        assert len(ids) == r.length
+        assert len(ids) == r.length and r.ids_crc32 == zlib.crc32(bytes(r.ids))
         streams[r.doc_id].append((r.start, ids, r.doc_tokens))
         sequences[r.sequence_id].append((r.offset, r.length))
     text = {r[0]: r[1] or "" for r in rows}
@@ -295,6 +306,19 @@ def test_packing(docs, rows, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
+def test_ids_of_every_letter_before_a_mark():
+    from tokenizers import Tokenizer
+
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    plain, ours = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    letters = [chr(c) for c in range(0x20, 0x11000) if not 0xD800 <= c < 0xE000]
+    texts = [x for c in letters for x in (f"{c}. {c.upper()}", f"x {c}! e\u0301, b{c}y: a\u0307.")]
+    texts += ["\u0130.", "x \u0130. y", "\u0958. \u0130\u0130;", "a.\x1cb. c", "\u03a3\u03a3. A\u03a3", "a\u0338. b"]
+    for text, e in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ours.encode(text)[0].tolist() == e.ids, ascii(text)
+
+
 def test_cuts_are_the_cheapest():
     rng = random.Random(2)
     for _ in range(20):
