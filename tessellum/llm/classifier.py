@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -131,16 +131,20 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000, label: str = "quality", **options) -> Model:
-    """Fits a model on at most ``sample`` labelled rows that are not held out.
+def train_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000, sample_bytes: int = 64 << 20, label: str = "quality", **options) -> Model:
+    """Fits a model on at most ``sample`` labelled rows, ``sample_bytes`` together, that are not held out.
 
-    The sample is bounded on purpose: those with the lowest hash of their id, whole texts.
-    Rows with a null id or label are left out.
+    The sample is bounded on purpose: rows with the lowest hash of their id, whole texts,
+    as long as they fit; the driver holds no more. Rows with a null id or label are left
+    out; an id that documents or labels repeat gives several rows, which count as such.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
-    chosen = known.select("doc_id", F.col(label).alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t"), "_y")
-    got = rows.toPandas().sort_values(["doc_id", "t"], kind="stable")
+    chosen = known.select("doc_id", F.col(label).alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(sample)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("t")).withColumn("_size", F.octet_length("t"))
+    rows = texts.where(F.col("_size") <= sample_bytes).join(F.broadcast(chosen), "doc_id").withColumn("_h", F.xxhash64("doc_id"))
+    rows = rows.orderBy("_h", "doc_id", "_y", "_size").limit(sample)
+    total = F.sum("_size").over(Window.orderBy("_h", "doc_id", "_y", "_size", "t").rowsBetween(Window.unboundedPreceding, 0))
+    got = rows.withColumn("_total", total).where(F.col("_total") <= sample_bytes).select("doc_id", "t", "_y").toPandas().sort_values(["doc_id", "t"], kind="stable")
     return train([bytes(t) for t in got["t"]], [int(y) for y in got["_y"]], **options)
 
 

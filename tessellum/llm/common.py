@@ -16,15 +16,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-#: Rows of an Arrow batch at most, where whole texts go to Python; Spark's own default suits short rows.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch at most, where whole texts go to Python; Spark's own defaults suit short rows.
+BATCH_ROWS, BATCH_BYTES = 2000, 64 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus; batches of whole texts are kept small for the session that reads it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    arrow = "spark.sql.execution.arrow"
+    if not 0 < int(spark.conf.get(f"{arrow}.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set(f"{arrow}.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set(f"{arrow}.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,9 +40,11 @@ def ascii_lower(c: Column) -> Column:
 
 
 def scratch_base(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is named, as in tests."""
+    """The folder that all executors share; one of our own only where none is named and all run on one machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), f"tessellum-{os.getpid()}")
     return base.rstrip("/")
 

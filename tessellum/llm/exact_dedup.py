@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, materialize
 
-#: Rows of the broadcast slot table at most, whatever the input: about 6 MB as a hash relation.
-SLOTS = 1 << 18
+#: Surviving (length, prefix hash) pairs that are broadcast at most, about 20 MB; more are joined by a shuffle.
+BROADCAST_PAIRS = 1 << 19
 
 
 def exact_dedup(
@@ -17,59 +17,52 @@ def exact_dedup(
     text_col: str = "text",
     normalise=ascii_lower,
     prefix_chars: int = 256,
-    slots: int = SLOTS,
+    broadcast_pairs: int = BROADCAST_PAIRS,
 ) -> DataFrame:
     """Adds keep_id, group_size, kept and full_hash to every row of docs.
 
     1. rows are counted by octet length, 2. rows of a length that occurs twice by
     (length, hash of the first characters), 3. only rows whose pair occurs twice have
-    their whole text hashed (SHA-256); full_hash stays null for the rest. What survives
-    step 2 reaches the scan as a set of at most ``slots`` slot numbers, so neither
-    texts nor pairs are shuffled; a slot shared by chance costs one more hash, never a
-    wrong group.
+    their whole text hashed (SHA-256); full_hash stays null for the rest, which take no
+    part in any shuffle. The surviving pairs, counted first, reach the scan as a broadcast
+    of at most ``broadcast_pairs`` rows; beyond that, rows meet them in a join by length
+    and prefix hash. Either way each row is refined by exact pairs.
 
     Null texts count as empty. Of equal texts the largest id stays; a null id is the
     smallest. Rows repeated with id and text are counted in group_size and one of them
-    is kept. Columns of docs with these names are replaced.
+    is kept. Columns of docs with the names of the results are replaced; any other name
+    may occur. An empty table gives an empty table.
     """
-    text = normalise(F.coalesce(F.col(text_col), F.lit("")))
     docs = docs.drop("keep_id", "group_size", "kept", "full_hash")
-    slim = F.coalesce(F.col(text_col), F.lit(""))
+    tag = "_"
+    while any(c.lower().startswith(tag) for c in docs.columns):
+        tag += "_"
+    n, p, hit, keep, twice = (tag + x for x in ("n", "p", "hit", "keep", "twice"))
+    columns, slim = docs.columns, F.coalesce(F.col(text_col), F.lit(""))
     size, prefix = F.octet_length(slim), F.xxhash64(normalise(F.substring(slim, 1, prefix_chars)))
 
-    sized = docs.select(size.alias("_n"), prefix.alias("_p"))
-    lengths = sized.groupBy("_n").agg(F.count("*").alias("_c")).where("_c > 1").select("_n")
-    pairs = sized.join(lengths, "_n", "left_semi").groupBy("_n", "_p").agg(F.count("*").alias("_c")).where("_c > 1")
-    surviving = pairs.select(_slot(F.col("_n"), F.col("_p"), slots).alias("_slot")).distinct()
+    counted = docs.select(size.alias(n), prefix.alias(p)).groupBy(n, p).agg(F.count("*").alias("c"))
+    lengths = counted.groupBy(n).agg(F.sum("c").alias("k")).where("k > 1").select(n)
+    pairs = materialize(counted.join(lengths, n, "left_semi").where("c > 1").select(n, p), "dedup-pairs")
+    found = pairs.withColumn(hit, F.lit(True))
+    found = F.broadcast(found) if pairs.count() <= broadcast_pairs else found.hint("merge")
+    refined = docs.withColumns({n: size, p: prefix}).join(found, [n, p], "left")
+    hashed = refined.withColumn("full_hash", F.when(F.col(hit), F.sha2(normalise(slim), 256))).select(*columns, "full_hash")
 
-    flagged = docs.withColumn("_slot", _slot(size, prefix, slots)).join(
-        F.broadcast(surviving.withColumn("_hit", F.lit(True))), "_slot", "left"
+    id_ = F.col(id_col)
+    alone = hashed.where(F.col("full_hash").isNull()).select(
+        *columns, id_.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "full_hash"
     )
-    hashed = flagged.withColumn("full_hash", F.when(F.col("_hit"), F.sha2(text, 256))).drop("_slot", "_hit")
-    groups = (
-        hashed.where(F.col("full_hash").isNotNull())
-        .groupBy(F.col("full_hash").alias("_key"))
-        .agg(F.max(id_col).alias("keep_id"), F.count("*").alias("group_size"))
-        .where("group_size > 1")
-    )
-    # texts that are alone get keys of their own, so that no partition gathers the nulls
-    key = F.coalesce("full_hash", F.concat(F.lit("-"), F.coalesce(F.col(id_col), F.xxhash64(text)).cast("string")))
-    joined = hashed.withColumn("_key", key).join(groups, "_key", "left")
-    marked = joined.select(
-        *docs.columns,
-        F.when(F.col("group_size").isNotNull(), F.col("keep_id")).otherwise(F.col(id_col)).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        "full_hash",
-        "_key",
-    )
-    order = Window.partitionBy("_key", "_own").orderBy(F.lit(1))
-    own = marked.withColumn("_own", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return (
-        own.repartition("_key", "_own")
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.row_number().over(order) == 1))
-        .drop("_key", "_own")
-    )
-
-
-def _slot(n: Column, p: Column, slots: int) -> Column:
-    return F.pmod(F.xxhash64(n, p), F.lit(slots)).cast("int")
+    met = hashed.where(F.col("full_hash").isNotNull())
+    ids = met.groupBy("full_hash", id_.alias("i")).agg(F.count("*").alias("c"))
+    groups = ids.groupBy("full_hash").agg(F.max(F.struct("i", "c")).alias("top"), F.sum("c").alias("group_size"))
+    groups = materialize(groups.select("full_hash", F.col("top.i").alias(keep), "group_size", F.col("top.c").alias(twice)), "dedup-groups")
+    marked = met.join(groups, "full_hash").withColumn("kept", id_.eqNullSafe(F.col(keep)))
+    result = [*columns, F.col(keep).alias("keep_id"), "group_size", "kept", "full_hash"]
+    if groups.where(F.col(twice) > 1).head(1):
+        # rows repeated with id and text: one of them stays
+        repeated = marked.where(F.col("kept") & (F.col(twice) > 1))
+        order = Window.partitionBy("full_hash").orderBy(F.lit(1))
+        repeated = repeated.withColumn("kept", F.row_number().over(order) == 1)
+        marked = marked.where(~(F.col("kept") & (F.col(twice) > 1))).unionByName(repeated)
+    return alone.union(marked.select(*result))

@@ -53,9 +53,13 @@ def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_exact_dedup(docs, rows, nothing):
-    got = exact_dedup.exact_dedup(docs).collect()
-    assert len(got) == len(rows)
+@pytest.mark.parametrize("most", [exact_dedup.BROADCAST_PAIRS, 0])
+def test_exact_dedup(docs, rows, nothing, most):
+    docs = docs.withColumnsRenamed({"lang": "_hit", "source": "_slot"}).withColumn("full_hash", F.lit(1))
+    found = exact_dedup.exact_dedup(docs, broadcast_pairs=most)
+    got = found.collect()
+    assert len(got) == len(rows) and {"_hit", "_slot", "_n", "n_chars"} <= set(found.columns)
+    assert sorted(map(str, (r[:2] + r[3:4] for r in rows))) == sorted(str((r.doc_id, r.text, r._slot)) for r in got)
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     groups = collections.defaultdict(list)
     for r in rows:
@@ -364,6 +368,39 @@ def test_shards(spark, docs, rows):
         sharding.ShardStore(spark, new_path(spark, "store")).read()
 
 
+def test_two_writers_of_a_store(spark, monkeypatch):
+    root = new_path(spark, "store")
+    one, two = sharding.ShardStore(spark, root, target_mb=1, fanout=2), sharding.ShardStore(spark, root, target_mb=1, fanout=2)
+    batch = lambda k: spark.range(10 * k, 10 * k + 10).coalesce(1)
+    one.append(batch(0))
+    write = two._write
+
+    def slow(df, name):  # the other writer commits, merges and cleans while this one has written but not committed
+        shards = write(df, name)
+        one.append(batch(1))
+        one.compact()
+        one.vacuum()
+        return shards
+
+    monkeypatch.setattr(two, "_write", slow)
+    two.append(batch(2))
+    assert sorted(r.id for r in one.read().collect()) == list(range(30))
+    one.compact()
+    one.vacuum(0)
+    assert sorted(r.id for r in two.read().collect()) == list(range(30)) and len(two.manifest()) == 1
+
+
+def test_quality_on_labels_it_never_saw(spark):
+    sf = "/root/testdata/sf0.01"
+    table, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = classifier.train_quality(table, labels)
+    scored = classifier.score_quality(table, model).join(labels, "doc_id").where(classifier.held_out(F.col("doc_id"))).select("score", "quality").toPandas()
+    good, bad = (scored.score[scored.quality == k].to_numpy() for k in (1, 0))
+    assert len(good) > 20 and len(bad) > 5 and np.mean(good[:, None] > bad[None]) > 0.85
+    # a bound in bytes keeps whole texts with the lowest hashes
+    assert classifier.train_quality(table, labels, sample_bytes=1).bias != model.bias
+
+
 def test_pipeline_stages(spark, docs):
     sf = "/root/testdata/sf0.001"
     table = spark.read.parquet(f"{sf}/documents.parquet")
