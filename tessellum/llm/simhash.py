@@ -12,20 +12,18 @@ from .common import Scratch, free_shuffles, materialize
 from .components import components
 
 BITS = 64
+#: Fingerprints of a task before each becomes its variants.
+SPREAD = 1 << 17
 
 
-def simhash(text: bytes, shingle: int = 3, seed: int = 42, repeats: bool = True) -> int:
+def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     """Bits set in over half of the XXH64s of a text's word shingles, A-Z lower-cased, repeats included.
 
-    A text of fewer words is one shingle; one without words has fingerprint 0. Without
-    ``repeats`` every different word counts once and ``shingle`` must be 1.
+    A text of fewer words is one shingle; one without words has fingerprint 0.
     """
     words = text.lower().split()
     if not words:
         return 0
-    if not repeats:
-        assert shingle == 1
-        words = sorted(set(words))
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), seed)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -41,66 +39,17 @@ def simhash(text: bytes, shingle: int = 3, seed: int = 42, repeats: bool = True)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-class WordDigests:
-    """XXH64s of words by several seeds; short words seen before are looked up in a table of bounded size."""
-
-    def __init__(self, seeds: tuple, most: int = 1 << 16, longest: int = 32):
-        self.seeds, self.most, self.longest = seeds, most, longest
-        self.rows, self.table = {}, np.zeros((most, len(seeds)), np.uint64)
-
-    def _digest(self, word: bytes) -> list[int]:
-        return [xxhash.xxh64_intdigest(word, s) for s in self.seeds]
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """One row of digests for each of at most ``most`` words."""
-        rows, table, long_ = self.rows, self.table, []
-        if len(rows) + len(words) > self.most:
-            rows.clear()
-        at = []
-        for w in words:
-            i = rows.get(w)
-            if i is None:
-                if len(w) > self.longest:
-                    long_.append(self._digest(w))
-                    continue
-                i = rows[w] = len(rows)
-                table[i] = self._digest(w)
-            at.append(i)
-        found = table[at]
-        return np.concatenate([found, np.array(long_, np.uint64)]) if long_ else found
-
-    def simhash(self, text: bytes) -> list[int]:
-        """For each seed, ``simhash`` of the set of words."""
-        words = list(set(text.lower().split()))
-        ones = np.zeros(BITS * len(self.seeds), np.int64)
-        step = self.most // 2
-        for i in range(0, len(words), step):
-            h = np.ascontiguousarray(self.of(words[i : i + step])).view(np.uint8)
-            ones += np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        return np.packbits(2 * ones > len(words), bitorder="little").view(np.int64).tolist()
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple = ((3, True, 42),)) -> DataFrame:
-    """(doc_id, fp0, fp1...): the bit pattern, as a long, of the fingerprint of each kind (shingle, repeats, seed). Null texts count as empty."""
-
-    seeds = tuple(seed for _, repeats, seed in kinds if not repeats)
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, fp): the bit pattern of each text's fingerprint, as a long. Null texts count as empty."""
 
     def compute(batches):
-        digests = WordDigests(seeds) if seeds else None
         for batch in batches:
             texts = [x.as_buffer() for x in batch.column(1)]
-            fps = []
-            for x in texts:
-                t = b"" if x is None else x.to_pybytes()
-                sets = iter(digests.simhash(t) if seeds else ())
-                fps.append([_signed(simhash(t, n, seed)) if repeats else next(sets) for n, repeats, seed in kinds])
-            columns = [pa.array([f[i] for f in fps], pa.int64()) for i in range(len(kinds))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
-
-    names = [f"fp{i}" for i in range(len(kinds))]
+            fps = [_signed(simhash(b"" if x is None else x.to_pybytes(), shingle, seed)) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+
     binary = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), binary.alias("t"))
-    return rows.mapInArrow(compute, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), binary.alias("t")).mapInArrow(compute, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -127,14 +76,16 @@ def ball_links(fps: DataFrame) -> DataFrame:
 
 
 def half_links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b): one link for each pair of classes (``c``) that hold fingerprints within ``radius`` = 3 bits in a shared half.
+    """(a, b): links between classes (``c``) that hold fingerprints within ``radius`` = 3 bits, as spanning trees.
 
     Pairs at three bits have different parity and at most one differing bit in one of the
     two 32-bit halves. Odd fingerprints emit their two halves, even ones the 33 variants
     of each half within one bit; they meet on the variant and are verified on all bits.
     ``fps`` is (fp, c) and only pairs of different classes matter, so a variant that one
-    class alone has is dropped before any pair is looked at, and a pair of classes that
-    meet there is linked once.
+    class alone has is dropped before any pair is looked at. The rest is dealt by variant
+    and each byte of the other half in turn: three bits leave one of four bytes equal, so
+    a hot variant is split into 1,024 groups. A group gives one link less than the classes
+    that it joins, however many pairs of them are near.
     """
     odd = F.bit_count("fp") % 2 == 1
     halves = [F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))]
@@ -146,19 +97,22 @@ def half_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     rows = probe.union(build).select("v", "o", "c", "fp")
     mixed = rows.groupBy("v").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.min("o").alias("_e"), F.max("o").alias("_o"))
     mixed = mixed.where("_lo < _hi and _e < _o").select("v")
-    open_ = rows.join(mixed, "v", "left_semi").repartition("v").sortWithinPartitions("v", "o", "fp")
+    other = F.when(F.col("v") % 2 == 0, halves[1]).otherwise(halves[0])  # a variant's last bit names its half
+    part = [F.lit(256 * k) + F.shiftright(other, 8 * k).bitwiseAND(F.lit(255).cast("long")) for k in range(4)]
+    open_ = rows.join(mixed, "v", "left_semi").select("v", F.explode(F.array(*part)).alias("part"), "o", "c", "fp")
+    open_ = open_.repartition("v", "part").sortWithinPartitions("v", "part", "o", "fp")
 
     def meet(batches):
-        v, blocks = None, []
+        key, blocks = None, []
         for batch in batches:
-            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
+            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)
             if not len(x):
                 continue
-            for group in np.split(x, np.flatnonzero(np.diff(x[:, 0])) + 1):
-                if v is not None and group[0, 0] != v:
+            for group in np.split(x, np.flatnonzero(np.diff(x[:, :2], axis=0).any(axis=1)) + 1):
+                if key is not None and tuple(group[0, :2]) != key:
                     yield from _cross(np.concatenate(blocks), radius)
                     blocks = []
-                v = group[0, 0]
+                key = tuple(group[0, :2])
                 blocks.append(group)
         if blocks:
             yield from _cross(np.concatenate(blocks), radius)
@@ -167,21 +121,31 @@ def half_links(fps: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def _cross(rows: np.ndarray, radius: int):
-    """One link for each pair of classes with an even and an odd member within ``radius`` bits, in blocks."""
-    even, odd = rows[rows[:, 1] == 0], rows[rows[:, 1] == 1]
-    found = []
+    """A spanning forest of the classes with an even and an odd member within ``radius`` bits, compared in blocks."""
+    even, odd = rows[rows[:, 2] == 0], rows[rows[:, 2] == 1]
+    parent: dict[int, int] = {}
+    links = []
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
     for i in range(0, len(odd), 256):
         o = odd[i : i + 256]
         for k in range(0, len(even), 4096):
             e = even[k : k + 4096]
-            near = np.bitwise_count((o[:, None, 3] ^ e[None, :, 3]).view(np.uint64)) <= radius
-            near &= o[:, None, 2] != e[None, :, 2]
+            near = np.bitwise_count((o[:, None, 4] ^ e[None, :, 4]).view(np.uint64)) <= radius
+            near &= o[:, None, 3] != e[None, :, 3]
             a, b = np.nonzero(near)
-            if len(a):
-                _, first = np.unique(np.stack([o[a, 2], e[b, 2]], axis=1), axis=0, return_index=True)
-                found.append(np.stack([o[a[first], 3], e[b[first], 3]], axis=1))
-    if found:
-        x = np.unique(np.concatenate(found), axis=0)
+            for x, y in {*zip(o[a, 3].tolist(), e[b, 3].tolist(), strict=True)}:
+                p, q = find(x), find(y)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    links.append((x, y))
+    if links:
+        x = np.array(links, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
 
@@ -191,59 +155,40 @@ def classes(fps: DataFrame) -> DataFrame:
     ``fps`` has each fingerprint once. Links within two bits come from radius-1 balls over
     all 64 bits, their classes from components, and links at three bits between classes
     from radius-1 balls over halves (the ball of radius 2 that three bits would need on
-    whole words has 2,081 variants).
+    whole words has 2,081 variants). The second run of components sees classes only.
     """
     spark = fps.sparkSession
     scratch = Scratch(spark)
-    near = scratch.write(ball_links(fps), "simhash-balls")
-    free_shuffles(spark)
-    label = components(near)
+    fps = fps.select("fp")
+    # each row becomes 65 and 34 rows, so they are spread before
+    fps = fps.repartition(max(spark.sparkContext.defaultParallelism, -(-fps.count() // SPREAD)))
+    label = components(scratch.write(ball_links(fps), "simhash-balls"))
     joined = fps.join(label.withColumnRenamed("a", "fp"), "fp", "left")
     labelled = scratch.write(joined.select("fp", F.coalesce("b", "fp").alias("c")), "simhash-labels")
-    far = scratch.write(half_links(labelled), "simhash-halves")
-    free_shuffles(spark)
-    final = components(label.select("a", "b").union(far.select("a", "b")))
-    roots = fps.join(final.withColumnRenamed("a", "fp"), "fp", "left").select("fp", F.coalesce("b", "fp").alias("root"))
+    spread = labelled.repartition(max(spark.sparkContext.defaultParallelism, -(-labelled.count() // SPREAD)))
+    top = components(scratch.write(half_links(spread), "simhash-halves"))
+    roots = labelled.join(top.select(F.col("a").alias("c"), "b"), "c", "left").select("fp", F.coalesce("b", "c").alias("root"))
     roots = materialize(roots, "simhash-classes")
     scratch.drop()
+    free_shuffles(spark)
     return roots
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple = ((3, True, 42),)) -> DataFrame:
-    """(doc_id, fp0, ..., component_id): component_id is the smallest id that a chain of links reaches.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest id that a chain of links reaches.
 
-    Fingerprints link at 3 or fewer differing bits; equal ones are merged first. With more
-    than one kind of fingerprint, a link of any kind links.
+    Fingerprints link at 3 or fewer differing bits; equal ones are merged first, so a
+    group of copies costs its fingerprint's row.
 
     Null and empty texts have fingerprint 0 and link like any other. Null ids take no part
     in the smallest id, unless a component has no other. A row repeated gets the same
     component each time. An empty table gives an empty table.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, kinds), "simhash")
-    free_shuffles(docs.sparkSession)
-    out, roots = rows, []
-    for i in range(len(kinds)):
-        scratch = Scratch(docs.sparkSession)
-        found = classes(scratch.write(rows.select(F.col(f"fp{i}").alias("fp")).distinct(), "simhash-distinct"))
-        scratch.drop()
-        out = out.join(found.select(F.col("fp").alias(f"fp{i}"), F.col("root").alias(f"_r{i}")), f"fp{i}")
-        roots.append(F.col(f"_r{i}"))
-    if len(kinds) > 1:
-        # classes of the first kind are joined by those of the others; both become nodes of one graph
-        out = materialize(out, "simhash-kinds")
-        nodes = [F.xxhash64(F.lit(i), r) for i, r in enumerate(roots)]
-        links = [out.select(nodes[0].alias("a"), n.alias("b")).distinct() for n in nodes[1:]]
-        merged = components(_union(links))
-        out = out.withColumn("_node", nodes[0]).join(merged.withColumnRenamed("a", "_node"), "_node", "left")
-        out = out.withColumn("_class", F.coalesce("b", "_node"))
-    else:
-        out = out.withColumn("_class", roots[0])
-    least = out.groupBy(F.col("_class").alias("_c")).agg(F.min("doc_id").alias("component_id"))
-    return out.join(least, F.col("_class") == F.col("_c")).select("doc_id", *[f"fp{i}" for i in range(len(kinds))], "component_id")
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.union(p)
-    return whole
+    scratch = Scratch(docs.sparkSession)
+    rows = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "simhash")
+    least = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("m")), "simhash-distinct")
+    found = classes(least)
+    first = scratch.write(found.join(least, "fp").groupBy("root").agg(F.min("m").alias("component_id")), "simhash-least")
+    named = materialize(found.join(first, "root").select("fp", "component_id"), "simhash-components")
+    scratch.drop()
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id")

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,14 +158,6 @@ def test_simhash(docs, rows, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
-def test_word_set_fingerprints_at_once(rows):
-    seeds = (42, 43, 44)
-    digests = simhash.WordDigests(seeds, most=64, longest=6)
-    texts = [(r[1] or "").encode() for r in rows] + [b"", b"one", b" ".join(b"w%d" % i for i in range(500))]
-    for t in texts:
-        assert [x % (1 << 64) for x in digests.simhash(t)] == [simhash.simhash(t, 1, s, False) for s in seeds]
-
-
 def test_links_at_three_bits_and_chains(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(63) for _ in range(40)]
@@ -401,34 +394,85 @@ def test_quality_on_labels_it_never_saw(spark):
     assert classifier.train_quality(table, labels, sample_bytes=1).bias != model.bias
 
 
-def test_pipeline_stages(spark, docs):
-    sf = "/root/testdata/sf0.001"
-    table = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[1:]:
-        out = stage(spark, table, sf)
-        assert out.count() > 0
-        assert name == "window_packing" or out.columns == corpus_pipeline.COLUMNS
-    exact = corpus_pipeline.exact_copies(spark, docs, sf)
-    assert exact.count() == exact.select(F.lower("text")).distinct().count() + 0
-    near = corpus_pipeline.near_copies(spark, exact, sf)
-    kept = [(r.doc_id, (r.text or "").encode()) for r in exact.select("doc_id", "text").collect()]
-    parent = list(range(len(kept)))
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1
+
+
+def near_groups(texts):
+    """The least place of each text's component of similar texts, by all pairs."""
+    sets, parent = [similarity.shingles(t) for t in texts], list(range(len(texts)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for shingle, repeats, seed in corpus_pipeline.NEAR_KINDS:
-        fps = np.array([simhash.simhash(t, shingle, seed, repeats) for _, t in kept], np.uint64)
-        for i in range(len(kept)):
-            for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 3):
-                parent[find(i)] = find(int(j))
-    groups = {}
-    for i, (doc_id, _) in enumerate(kept):
-        groups.setdefault(find(i), []).append(doc_id)
-    expected = {min((x for x in ids if x is not None), default=None) for ids in groups.values()}
-    assert {r.doc_id for r in near.collect()} == expected
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def test_pipeline_stages(spark, docs, tmp_path):
+    """Each stage on what the one before kept, against brute force; then run() as a whole."""
+    from tokenizers import Tokenizer
+
+    public = pytest.importorskip("public_tokenizers")
+    sf = "/root/testdata/sf0.001"
+    kept = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality_classifier", "exact_dedup", "simhash_near_dedup", "source_mix", "window_packing"]
+
+    def step(name, docs):
+        out = stages[name](spark, docs, sf)
+        assert name == "window_packing" or out.columns == corpus_pipeline.COLUMNS
+        out.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    model = classifier.train_quality(table, spark.read.parquet(f"{sf}/labels.parquet"))
+    good = step("quality_classifier", table)
+    kept = [r for r in kept if model.score((r[1] or "").encode()) >= 0.3]
+    assert sorted(r.doc_id for r in good.collect()) == sorted(r[0] for r in kept)
+
+    exact = step("exact_dedup", good)
+    groups = collections.defaultdict(list)
+    for r in kept:
+        groups[(r[1] or "").encode().lower()].append(r[0])
+    last = {max(ids) for ids in groups.values()}
+    kept = sorted(r for r in kept if r[0] in last)
+    assert sorted(r.doc_id for r in exact.collect()) == [r[0] for r in kept]
+
+    near = step("simhash_near_dedup", exact)
+    kept = [r for i, r in enumerate(kept) if near_groups([(x[1] or "").encode() for x in kept])[i] == i]
+    assert sorted(r.doc_id for r in near.collect()) == [r[0] for r in kept]
+
+    mixed = step("source_mix", near).collect()
+    taken = {r.doc_id: r.taken / r.size for r in mixing.mix_sources(near).collect() if r.size}
+    expected = collections.Counter({d: round(x + 1e-9) for d, x in taken.items()})
+    assert collections.Counter(r.doc_id for r in mixed) == +expected
+
+    plain = Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    packed = step("window_packing", spark.read.parquet(f"{tmp_path}/source_mix")).collect()
+    text = {r.doc_id: r.text or "" for r in mixed}
+    got = collections.defaultdict(collections.Counter)
+    for r in packed:
+        for k, x in enumerate(np.frombuffer(bytes(r.ids), "<u4").tolist()):
+            got[r.doc_id][r.start + k, x] += 1
+    for d, n in collections.Counter(r.doc_id for r in mixed).items():
+        ids = plain.encode(text[d], add_special_tokens=False).ids + [2]
+        assert got[d] == {(k, x): n for k, x in enumerate(ids)}
+
+    whole = corpus_pipeline.run(spark, sf).select("doc_id", "start", "length", "ids_crc32").collect()
+    assert sum(r.length for r in whole) == sum(r.length for r in packed) and {r.doc_id for r in whole} == set(got)
+
+    exact = corpus_pipeline.exact_copies(spark, docs, sf)
+    assert exact.count() == exact.select(F.lower("text")).distinct().count()
+    rows = sorted(((r.doc_id, (r.text or "").encode()) for r in exact.collect()), key=lambda r: (r[0] is None, r[0]))
+    least = near_groups([t for _, t in rows])
+    expected = {rows[i][0] for i in least}
+    assert sorted(map(str, (r.doc_id for r in corpus_pipeline.near_copies(spark, exact, sf).collect()))) == sorted(map(str, expected))
 
 
 def test_oracles_name_queries():
@@ -458,26 +502,26 @@ def test_near_copies_are_all_pairs_at_eight_tenths_and_no_others(spark):
     order = list(range(len(texts)))
     rng.shuffle(order)
     rows = [(i, " ".join(texts[j]), "en", "src0", 0) for i, j in enumerate(order)]
-    sets = [similarity.shingles(r[1].encode()) for r in rows]
-    parent, near, far = list(range(len(rows))), 0, 0
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
+    sets, near, far = [similarity.shingles(r[1].encode()) for r in rows], 0, 0
     for i in range(len(rows)):
         for j in range(i):
-            union = len(sets[i] | sets[j])
-            share = len(sets[i] & sets[j]) / union if union else 1
+            share = jaccard(sets[i], sets[j])
             near, far = near + (0.8 <= share < 1), far + (0.6 <= share < 0.8)
             if share >= 0.8:
-                parent[find(i)] = find(j)
                 a, b = (set(similarity._keys(similarity._digests(rows[x][1].encode())).tolist()) for x in (i, j))
                 assert a & b
     assert near > 60 and far > 60
-    least = {}
-    for i in range(len(rows)):
-        least[find(i)] = min(least.get(find(i), i), i)
     got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, SCHEMA).repartition(5), "")
-    assert {r.doc_id for r in got.collect()} == set(least.values())
+    assert {r.doc_id for r in got.collect()} == set(near_groups([r[1].encode() for r in rows]))
+
+
+def test_rows_of_shared_keys_pass_batch_by_batch():
+    rng = random.Random(3)
+    rows = sorted((rng.randint(0, 40), i) for i in range(200)) + [(99, 1), (100, 5), (100, 6)]
+    for size in (1, 2, 7, 300):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], ["key", "node"]) for i in range(0, len(rows), size)]
+        got = sorted(r for b in similarity._shared(batches) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        groups = collections.defaultdict(list)
+        for k, n in rows:
+            groups[k].append(n)
+        assert got == sorted((k, n, min(ns)) for k, ns in groups.items() if len(ns) > 1 for n in ns)
