@@ -508,13 +508,28 @@ def test_near_copies_are_all_pairs_at_eight_tenths_and_no_others(spark):
             share = jaccard(sets[i], sets[j])
             near, far = near + (0.8 <= share < 1), far + (0.6 <= share < 0.8)
             if share >= 0.8:
-                a, b = (set(similarity._keys(similarity._digests(rows[x][1].encode())).tolist()) for x in (i, j))
-                assert a & b
+                for levels in (np.zeros(4, np.uint8), np.array([3, 1, 2, 1] * 1024, np.uint8)):
+                    a, b = (set(similarity._keys(similarity._digests(rows[x][1].encode()), levels).tolist()) for x in (i, j))
+                    assert a & b
     assert near > 60 and far > 60
     got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, SCHEMA).repartition(5), "")
     assert {r.doc_id for r in got.collect()} == set(near_groups([r[1].encode() for r in rows]))
 
 
+def test_pairs_of_a_hot_key_are_all_met():
+    rng = np.random.default_rng(5)
+    n = 700
+    x = np.zeros((n, 4 + similarity.SKETCH), np.int64)
+    x[:, 1], x[:, 2], x[:, 3] = np.sort(rng.integers(0, 40, n)), rng.permutation(n), rng.integers(50, 60, n)
+    x[:, 4] = 1 << rng.integers(0, 8, n)
+    batches = lambda: [pa.RecordBatch.from_arrays([pa.array(c) for c in x[i : i + 100].T], [f"c{k}" for k in range(x.shape[1])]) for i in range(0, n, 100)]
+    got = [r for b in similarity._crossed(batches()) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    cls = dict(x[:, [2, 1]].tolist())
+    assert sorted(got) == sorted((a, b, cls[a], cls[b]) for a in range(n) for b in range(a) if cls[a] != cls[b])
+    forest = [r for b in similarity._forest(batches()) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(forest) == len(set(cls.values())) - 1 and set(forest) <= set(got)
+
+
 def test_rows_of_shared_keys_pass_batch_by_batch():
     rng = random.Random(3)
     rows = sorted((rng.randint(0, 40), i) for i in range(200)) + [(99, 1), (100, 5), (100, 6)]
