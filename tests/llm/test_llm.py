@@ -508,9 +508,8 @@ def test_near_copies_are_all_pairs_at_eight_tenths_and_no_others(spark):
             share = jaccard(sets[i], sets[j])
             near, far = near + (0.8 <= share < 1), far + (0.6 <= share < 0.8)
             if share >= 0.8:
-                for levels in (np.zeros(4, np.uint8), np.array([3, 1, 2, 1] * 1024, np.uint8)):
-                    a, b = (set(similarity._keys(similarity._digests(rows[x][1].encode()), levels).tolist()) for x in (i, j))
-                    assert a & b
+                a, b = (set(similarity._keys(similarity._digests(rows[x][1].encode())).tolist()) for x in (i, j))
+                assert a & b
     assert near > 60 and far > 60
     got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, SCHEMA).repartition(5), "")
     assert {r.doc_id for r in got.collect()} == set(near_groups([r[1].encode() for r in rows]))
