@@ -77,9 +77,44 @@ class Spark:
     def pick(items: list[str], index: str) -> str:
         return f"element_at(array({', '.join(items)}), CAST({index} + 1 AS INT))"
 
+    #: Where a run of ASCII letters, digits and underscores begins or ends.
+    EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+    #: Flags under which ^ stands after each line feed, whatever the case.
+    LINES = "(?dim)"
+
+    @staticmethod
+    def without(a: str, b: str) -> str:
+        return f"array_except({a}, {b})"
+
+    @staticmethod
+    def each(array: str, of: str) -> str:
+        """``of`` (an expression in x) of every item."""
+        return f"transform({array}, x -> {of})"
+
+    @staticmethod
+    def some_listed(value: str, most: int) -> str:
+        """The first ``most`` different values, joined."""
+        return f"array_join(slice(array_sort(collect_set({value})), 1, {most}), ',')"
+
+    @staticmethod
+    def unnest_outer(array: str, alias: str) -> str:
+        return f"LATERAL VIEW OUTER explode({array}) _{alias} AS {alias}"
+
+    @staticmethod
+    def iso(seconds: str) -> str:
+        return f"date_format(TIMESTAMP_NTZ '1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {seconds}), \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
+
+    @staticmethod
+    def base64(text: str) -> str:
+        return f"base64({text})"
+
+    @staticmethod
+    def from_base64(text: str) -> str:
+        return f"CAST(unbase64({text}) AS STRING)"
+
     @staticmethod
-    def recursive() -> str:
-        return "WITH RECURSIVE"
+    def position(text: str, part: str) -> str:
+        return f"locate({part}, {text})"
 
 
 class Duck(Spark):
@@ -136,3 +171,38 @@ class Duck(Spark):
     @staticmethod
     def pick(items: list[str], index: str) -> str:
         return f"([{', '.join(items)}])[{index} + 1]"
+
+    EDGE = r"\b"
+    LINES = "(?im)"
+
+    @staticmethod
+    def without(a: str, b: str) -> str:
+        return f"list_filter({a}, lambda x: NOT list_contains({b}, x))"
+
+    @staticmethod
+    def each(array: str, of: str) -> str:
+        return f"list_transform({array}, lambda x: {of})"
+
+    @staticmethod
+    def some_listed(value: str, most: int) -> str:
+        return f"array_to_string(list_slice(list_sort(list(DISTINCT {value})), 1, {most}), ',')"
+
+    @staticmethod
+    def unnest_outer(array: str, alias: str) -> str:
+        return f"LEFT JOIN LATERAL (SELECT unnest({array}) AS {alias}) _{alias} ON TRUE"
+
+    @staticmethod
+    def iso(seconds: str) -> str:
+        return f"strftime(make_timestamp(CAST({seconds} AS BIGINT) * 1000000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+
+    @staticmethod
+    def base64(text: str) -> str:
+        return f"to_base64(encode({text}))"
+
+    @staticmethod
+    def from_base64(text: str) -> str:
+        return f"decode(from_base64({text}))"
+
+    @staticmethod
+    def position(text: str, part: str) -> str:
+        return f"strpos({text}, {part})"

@@ -64,13 +64,19 @@ def top_claims(q):
     return f"SELECT entry_id, id, CAST(place AS BIGINT) AS place FROM (SELECT entry_id, id, row_number() OVER (PARTITION BY entry_id ORDER BY certainty DESC, created_s DESC, id DESC) AS place FROM {q.table('claim')}) x WHERE place <= 5"
 
 
-@statement("invariant_counts", "entry", "claim", "claim_relation")
+@statement("invariant_counts", "entry", "claim", "kg_relation", "entity", "queue", "evidence")
 def invariants(q):
-    """PIP10, FLT15, JON8: violations by check, none counted past 1,000."""
-    e, c, r = q.table("entry"), q.table("claim"), q.table("claim_relation")
-    return f"""SELECT 'claim-without-entry' AS name, count(*) AS n FROM (SELECT c.id FROM {c} c LEFT JOIN {e} e ON c.entry_id = e.id WHERE e.id IS NULL LIMIT 1000) x
-      UNION ALL SELECT 'edge-without-claim', count(*) FROM (SELECT r.src FROM {r} r LEFT JOIN {e} e ON r.dst = e.id WHERE e.id IS NULL LIMIT 1000) y
-      UNION ALL SELECT 'certainty-out-of-range', count(*) FROM (SELECT id FROM {c} WHERE certainty < 0 OR certainty > 1 LIMIT 1000) z"""
+    """PIP10, FLT15, JON8: violations of the five invariants, none counted past 1,000."""
+    c, k, n = q.table("claim"), q.table("kg_relation"), q.table("entity")
+    tags = f"(SELECT id + 3 AS entry_id, created_s + 3 * 3600 AS at FROM {q.table('entry')})"
+    checks = {
+        "claim_missing_evidence_but_verified": f"SELECT c.id FROM {c} c LEFT JOIN (SELECT DISTINCT claim_id FROM {q.table('evidence')}) v ON v.claim_id = c.id WHERE c.verdict IN ('verified', 'disputed') AND v.claim_id IS NULL",
+        "verify_queue_orphaned": f"SELECT w.claim_id FROM {q.table('queue')} w LEFT JOIN {c} c ON c.id = w.claim_id WHERE c.id IS NULL",
+        "kg_relation_orphan_entity": f"SELECT r.src FROM {k} r LEFT JOIN {n} s ON s.id = r.src LEFT JOIN {n} t ON t.id = r.dst WHERE s.id IS NULL OR t.id IS NULL",
+        "entry_tag_orphan": f"SELECT t.entry_id FROM {tags} t LEFT JOIN {q.table('entry')} e ON e.id = t.entry_id AND e.created_s = t.at WHERE e.id IS NULL",
+        "claim_stuck_in_queue_over_24h": f"SELECT claim_id FROM {q.table('queue')} WHERE queued_s < 883612800 - 86400 AND attempts < 3",
+    }
+    return " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n FROM ({sql} LIMIT 1000) {name}" for name, sql in checks.items())
 
 
 @statement("audit_summary", "entry", "feedback")
@@ -101,14 +107,22 @@ def leak(q):
 
 @statement("length_summary", "documents")
 def lengths(q):
-    """AGG28: number, least, most and mean length by language."""
-    return f"SELECT lang, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most, round(avg(n_chars), 6) AS mean FROM {q.table('documents')} GROUP BY lang"
+    """AGG28: number, least, median, 95th percentile, most and mean length by language, from counts of each length."""
+    at = lambda p: f"min(CASE WHEN upto > floor(n * {p}) THEN n_chars END)"
+    return f"""WITH c AS (SELECT lang, n_chars, count(*) AS k FROM {q.table("documents")} GROUP BY lang, n_chars),
+      u AS (SELECT lang, n_chars, k, sum(k) OVER (PARTITION BY lang ORDER BY n_chars) AS upto, sum(k) OVER (PARTITION BY lang) AS n FROM c)
+      SELECT lang, CAST(max(n) AS BIGINT) AS n, min(n_chars) AS least, {at(0.5)} AS p50, {at(0.95)} AS p95, max(n_chars) AS most, round(sum(k * n_chars) * 1.0 / max(n), 6) AS mean FROM u GROUP BY lang"""
+
+
+# Upper bounds of the latency buckets, in milliseconds.
+BUCKETS = [50, 100, 250, 500, 1000, 2500, 5000, 10000, 30000, 60000, 180000]
 
 
 @statement("latency_histogram", "events")
 def histogram(q):
-    """AGG29: counts in fixed buckets."""
-    return f"SELECT event_type, CASE WHEN value <= 50 THEN 50 WHEN value <= 100 THEN 100 WHEN value <= 500 THEN 500 ELSE 180000 END AS bucket, count(*) AS n FROM {q.table('events')} GROUP BY event_type, CASE WHEN value <= 50 THEN 50 WHEN value <= 100 THEN 100 WHEN value <= 500 THEN 500 ELSE 180000 END"
+    """AGG29: cumulative counts in fixed buckets, with sum and count, a type."""
+    cells = ", ".join(f"count(CASE WHEN value * 400 <= {b} THEN 1 END) AS le_{b}" for b in BUCKETS)
+    return f"SELECT event_type, {cells}, count(*) AS n, round(sum(value * 400), 3) AS total FROM {q.table('events')} GROUP BY event_type"
 
 
 @statement("promotion_gate", "golden")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.bindings import AS_OF, SOURCE_TRUST
+from ..sources.bindings import AS_OF, SOURCE_TRUST, START
 from .registry import statement
 
 
@@ -74,8 +74,9 @@ def eligible(q):
 
 @statement("composite_key_semi", "entry", "claim")
 def composite(q):
-    """FLT8: entries by pairs of keys."""
-    return f"SELECT id, language FROM {q.table('entry')} e WHERE EXISTS (SELECT 1 FROM {q.table('claim')} c WHERE c.entry_id = e.id AND c.id % 2 = e.id % 2)"
+    """FLT8: entries by pairs of keys, id and time of creation."""
+    pairs = f"SELECT entry_id, CASE WHEN id % 3 = 0 THEN {START} + entry_id * 3600 ELSE created_s END AS at FROM {q.table('claim')}"
+    return f"SELECT id, created_s FROM {q.table('entry')} e WHERE EXISTS (SELECT 1 FROM ({pairs}) p WHERE p.entry_id = e.id AND p.at = e.created_s)"
 
 
 @statement("null_checks", "documents")
@@ -119,7 +120,8 @@ def out_and_in(q):
 @statement("evidence_best_window", "evidence")
 def best_window(q):
     """RNK9: of each claim's evidence that with the widest gap between entailment and contradiction; the first wins."""
-    return f"""SELECT claim_id, id, entailment, contradiction FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY abs(entailment - contradiction) DESC, id) AS k FROM {q.table("evidence")}) t WHERE k = 1"""
+    gap = "round(abs(entailment - contradiction), 9)"
+    return f"""SELECT claim_id, id, round(entailment, 6) AS entailment, round(contradiction, 6) AS contradiction FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY {gap} DESC, id, entailment, contradiction) AS k FROM {q.table("evidence")}) t WHERE k = 1"""
 
 
 @statement("decisiveness", "evidence")
@@ -156,7 +158,7 @@ def entity_key(q):
 @statement("first_url", "pages")
 def first_url(q):
     """STX27: the first address in a text."""
-    return f"SELECT page_id, nullif({q.first('html', r'https?://[^\s<>\x22\x27]{8,500}')}, '') AS found FROM {q.table('pages')}"
+    return f"SELECT page_id, nullif({q.first('html', r'https?://[^\s<>\x22\x27]{8,1000}[^\s<>\x22\x27]{0,1000}')}, '') AS found FROM {q.table('pages')}"
 
 
 @statement("language_guard", "documents")
@@ -179,18 +181,19 @@ def answer(q):
     return f"SELECT conv_id, turn, {yes} AS supported, CASE WHEN {yes} OR {no} THEN 0.85 ELSE 0.3 END AS confidence FROM {q.table('conversations')}"
 
 
-@statement("claim_key_gate", "documents")
-def claim_key(q):
-    """FLT33, STX3: a claim's key has no marks and at least eight characters."""
-    key = f"trim({q.replace(q.replace('lower(substr(text, 1, 200))', r'[\p{P}\p{S}]+', ' '), r'[ \n\t\r]+', ' ')})"
-    return f"SELECT doc_id, {key} AS key FROM {q.table('documents')} WHERE length({key}) >= 8"
+# What texts about code and about papers look like; < stands for a word's edge.
+KINDS = {
+    "code": ["(?i)<(npm|cargo|pip|composer|gem|go install|bun install|yarn add)<", "(?i)<(function|class|interface|method|API|endpoint|library|framework|runtime|module)<",
+             r"(?i)<(github\.com|gitlab|bitbucket)<", r"\.(js|ts|py|rs|go|java|rb|cpp|c|cs)<", "(?i)<(repo|repository|commit|pull request|branch)<"],
+    "paper": ["(?i)<(paper|preprint|arxiv|study|research|published|journal)<", "(?i)<(authors? (?:show|demonstrate|find|propose|prove))<", r"(?i)<(et al\.?|doi:|arxiv:)<", r"<[0-9]{4}\.[0-9]{4,5}<"],
+}
 
 
 @statement("topic_kinds", "documents")
 def topic_kinds(q):
-    """FLT34: texts about code, papers or neither, by terms."""
-    code, paper = q.matches("text", r"(?i)\b(function|class|commit|release|api)\b"), q.matches("text", r"(?i)\b(paper|arxiv|theorem|study)\b")
-    return f"SELECT doc_id, {code} AS code, {paper} AS paper FROM {q.table('documents')}"
+    """FLT34: texts about code, papers, both or neither."""
+    cols = ", ".join("(" + " OR ".join(q.matches("text", p.replace("<", q.EDGE)) for p in patterns) + f") AS {k}" for k, patterns in KINDS.items())
+    return f"SELECT doc_id, {cols} FROM {q.table('documents')}"
 
 
 @statement("trust_of_kinds", "entry_source")
