@@ -82,6 +82,14 @@ class Spark:
     #: Flags under which ^ stands after each line feed, whatever the case.
     LINES = "(?dim)"
 
+    @staticmethod
+    def name(word: str) -> str:
+        return f"`{word}`"
+
+    @staticmethod
+    def json_source() -> str:
+        return """'{{"source":"verify"}}'"""
+
     @staticmethod
     def without(a: str, b: str) -> str:
         return f"array_except({a}, {b})"
@@ -175,6 +183,14 @@ class Duck(Spark):
     EDGE = r"\b"
     LINES = "(?im)"
 
+    @staticmethod
+    def name(word: str) -> str:
+        return f'"{word}"'
+
+    @staticmethod
+    def json_source() -> str:
+        return """'{"source":"verify"}'"""
+
     @staticmethod
     def without(a: str, b: str) -> str:
         return f"list_filter({a}, lambda x: NOT list_contains({b}, x))"
