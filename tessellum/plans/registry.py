@@ -53,4 +53,4 @@ def frame(name: str, sql: str | None = None, *tables: str):
     return add
 
 
-from . import evaluation, graph, queues, records, retrieval, scoring, shaping, streams, text, vectors, verification, writes  # noqa: E402, F401
+from . import evaluation, graph, queues, records, retrieval, operations, scoring, shaping, streams, text, vectors, verification, writes  # noqa: E402, F401

@@ -7,6 +7,9 @@ Times are epoch seconds; ``AS_OF`` stands for now.
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 AS_OF = 1735689600  # 2025-01-01T00:00:00Z
@@ -110,3 +113,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql, needs = LOGICAL[name]
     return spark.sql(doubles(sql(Spark)), **{n: load(spark, sf_dir, n) for n in needs})
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where none is named and all run on one machine, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), f"tessellum-{os.getpid()}")
+    return base.rstrip("/")

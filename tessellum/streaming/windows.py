@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.bindings import shared_folder
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -38,7 +38,7 @@ def distinct_events(stream: DataFrame) -> DataFrame:
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what is there; its result as a table in the folder of spark.checkpoint.dir."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), f"tessellum-{os.getpid()}")
+    base = shared_folder(spark)
     run = uuid.uuid4().hex
 
     def put(batch: DataFrame, no: int) -> None:
