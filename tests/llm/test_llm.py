@@ -110,6 +110,73 @@ def test_repeated_words(docs, rows, nothing):
     assert substring_dedup.repeated_words(nothing).count() == 0
 
 
+@pytest.mark.parametrize("wide", [windows.WIDE, 1])
+def test_repeat_groups_have_all_their_places(spark, docs, rows, nothing, monkeypatch, wide):
+    monkeypatch.setattr(windows, "WIDE", wide)
+    texts = collections.defaultdict(list)
+    for r in rows:
+        texts[r[0]].append((r[1] or "").encode())
+    groups = collections.defaultdict(list)
+    for r in substring_dedup.repeat_groups(docs).collect():
+        groups[r.grp, r.length].append((r.doc_id, r.start))
+    corpus_ = [(d, t) for d, ts in texts.items() for t in ts]
+    covered = collections.defaultdict(set)
+    assert len(groups) > 30
+    for (_, n), places in groups.items():
+        d, start = places[0]
+        said = next(t for t in texts[d] if t[start : start + n] and all(any(u[s : s + n] == t[start : start + n] for u in texts[e]) for e, s in places))[start : start + n]
+        everywhere = sorted(str((e, m.start())) for e, t in corpus_ for m in re.finditer(b"(?=" + re.escape(said) + b")", t))
+        assert len(said) == n >= 200 and sorted(map(str, places)) == everywhere and len(places) > 1
+        for e, s in places:
+            covered[e].update(range(s, s + n))
+    spans = collections.defaultdict(set)
+    for r in substring_dedup.repeated_bytes(docs).collect():
+        for s in r.spans or ():
+            spans[r.doc_id].update(range(s.start, s.stop))
+    assert {k: v for k, v in covered.items() if v} == dict(spans)
+    assert substring_dedup.repeat_groups(nothing).count() == 0
+
+
+def test_a_passage_of_many_contexts(spark):
+    rng = random.Random(9)
+    say = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    passage, part = say(420), say(90)
+    texts = [say(rng.randint(0, 150)) + (passage if i % 3 else passage[:260] + part) + say(rng.randint(0, 150)) for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    seen = collections.Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    for r in substring_dedup.repeated_bytes(df).collect():
+        t = texts[r.doc_id]
+        mask = bytearray(len(t))
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                mask[i : i + 200] = b"\1" * 200
+        assert [(s.start, s.stop) for s in r.spans] == [(m.start(), m.end()) for m in re.finditer(b"\1+", mask)]
+    sizes = collections.Counter((r.grp, r.length) for r in substring_dedup.repeat_groups(df).collect())
+    assert max(sizes.values()) == 80
+
+
+def test_an_index_goes_on_where_it_ended(spark, docs, rows, tmp_path):
+    key = lambda found: sorted((r.d, r.h, a, b) for r in found.groupBy("d", "h").agg(F.flatten(F.collect_list("runs")).alias("runs")).collect() for a, b in windows.cover(r.runs, 50))
+    texts = substring_dedup._identified(docs, "doc_id", "text", substring_dedup.LAST).cache()
+    root = f"file://{tmp_path}/index"
+    once = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/once", buckets=3).add(texts)
+    found = None
+    for low, high in ((-1, 30), (30, 31), (31, 60), (60, 90), (90, substring_dedup.LAST)):
+        index = substring_dedup.FingerprintIndex(spark, root, buckets=3, fanout=2)  # opened anew each time
+        for run in index.state["runs"]:
+            spark.sql(f"DROP TABLE IF EXISTS {run['name']}")  # as in another session
+        got = index.add(texts.where((F.col("d") > low) & (F.col("d") <= high)), texts.where(F.col("d") <= high))
+        found = got if found is None else found.union(got)
+    assert key(found) == key(once) and len(key(once)) > 5
+    assert len(index.state["runs"]) <= 3 and max(r["tier"] for r in index.state["runs"]) >= 2
+    plan = index._read(index.state["runs"][0]).join(index._read(index.state["runs"][-1]).hint("merge"), "anchor")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    with pytest.raises(ValueError):
+        index.add(texts)
+    with pytest.raises(ValueError):
+        substring_dedup.FingerprintIndex(spark, root, buckets=3, gram=8)
+
+
 def test_texts_longer_than_a_piece(spark):
     rng = random.Random(5)
     long = "".join(rng.choices("abcdefgh ", k=(1 << 20) + 5000))
