@@ -14,6 +14,8 @@ from .common import Scratch, drop_path, free_shuffles, materialize, new_path
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 LAST = (1 << 63) - 1
+#: Text of a bucket of a new fingerprint index.
+BUCKET_BYTES = 32 << 20
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str, null_id: int) -> DataFrame:
@@ -233,14 +235,16 @@ class FingerprintIndex:
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 16, batches: int = 3, index: FingerprintIndex | None = None) -> DataFrame:
     """(d, t, spans): the word ranges of each text covered by ``window`` words that also start in a smaller document.
 
-    Documents are fed to a FingerprintIndex, a new one by default, in batches by ranges of
-    their id. A null id counts as the largest: such a row gives way to every other and to no
+    Documents are fed to a FingerprintIndex, a new one by default (of a bucket for each
+    BUCKET_BYTES of text), in batches by ranges of their id. A null id counts as the largest: such a row gives way to every other and to no
     other null. Rows that share an id are one document. Null and empty texts have no words.
     An empty table gives an empty table.
     """
     spark = docs.sparkSession
     texts = _identified(docs, id_col, text_col, LAST)
-    index = index or FingerprintIndex(spark, new_path(spark, "index"), "words", window, gram)
+    if index is None:
+        total = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        index = FingerprintIndex(spark, new_path(spark, "index"), "words", window, gram, buckets=max(24, total // BUCKET_BYTES))
     cuts = docs.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [k / batches for k in range(1, batches)], 0.01)
     edges = sorted({int(x) for x in cuts})
     found = None

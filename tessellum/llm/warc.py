@@ -194,8 +194,8 @@ def _page_row(fields: dict[str, str], block: bytes) -> tuple:
 def archive_pages(pages: DataFrame, folder: str, least: int = 0, partitions: int | None = None) -> DataFrame:
     """Writes every row of pages(page_id, url, html) as a record and returns the manifest.
 
-    Of equal payloads of at least ``least`` bytes the page with the largest id is the
-    response and the others revisit it. Null html is an empty payload; rows with a null
+    Of equal payloads (by SHA-256) of at least ``least`` bytes the page with the largest id
+    is the response and the others revisit it. Null html is an empty payload; rows with a null
     id are responses (they can't be told from a copy); a row repeated with its id is a
     response each time. Other columns are ignored.
     """
@@ -205,11 +205,11 @@ def archive_pages(pages: DataFrame, folder: str, least: int = 0, partitions: int
 
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")
-    ).withColumn("digest", digests("payload"))
+    ).withColumns({"digest": digests("payload"), "_full": F.sha2("payload", 256)})
     enough = F.octet_length("payload") >= least
-    firsts = rows.where(enough).groupBy(F.col("digest").alias("_d")).agg(F.max("page_id").alias("first_id"), F.count("*").alias("_n")).where("_n > 1").select("_d", "first_id")
+    firsts = rows.where(enough).groupBy(F.col("_full").alias("_f")).agg(F.max("page_id").alias("first_id"), F.count("*").alias("_n")).where("_n > 1").select("_f", "first_id")
     firsts = materialize(firsts, "warc-firsts")
-    joined = rows.join(firsts, (F.col("digest") == F.col("_d")) & enough, "left").drop("_d")
+    joined = rows.join(firsts, (F.col("_full") == F.col("_f")) & enough, "left").drop("_f", "_full")
     n = partitions or max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = joined.repartition(n, "page_id", "digest").sortWithinPartitions("page_id", "digest", "url")
     return materialize(write_warc(dealt, folder), "warc-manifest")

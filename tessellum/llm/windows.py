@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .classifier import _SPACE, _mix, _tables
+from .common import materialize
 
 PIECE = 1 << 20
 _LOW = np.uint64(PIECE - 1)
@@ -293,7 +294,7 @@ _SUBTREE = "anchor long, c long, c2 long, count long, d long, w int, p long, q l
 
 def _by_width(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The superwindows of anchors that fit one suffix array, and those of anchors that are split."""
-    many = contents.groupBy("anchor").agg(F.count("*").alias("_m")).where(F.col("_m") > WIDE).select("anchor")
+    many = materialize(contents.groupBy("anchor").agg(F.count("*").alias("_m")).where(F.col("_m") > WIDE).select("anchor"), "wide-anchors")
     return contents.join(many, "anchor", "left_anti"), contents.join(many, "anchor", "left_semi")
 
 
