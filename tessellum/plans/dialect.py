@@ -37,6 +37,10 @@ class Spark:
     def found(cls, value: str, pattern: str) -> str:
         return f"regexp_extract_all({value}, {cls.lit(pattern)}, 0)"
 
+    @classmethod
+    def count(cls, value: str, pattern: str) -> str:
+        return f"CAST(regexp_count({value}, {cls.lit(pattern)}) AS BIGINT)"
+
     @classmethod
     def first(cls, value: str, pattern: str, group: int = 0) -> str:
         return f"regexp_extract({value}, {cls.lit(pattern)}, {group})"
@@ -180,6 +184,10 @@ class Duck(Spark):
     def pick(items: list[str], index: str) -> str:
         return f"([{', '.join(items)}])[{index} + 1]"
 
+    @classmethod
+    def count(cls, value: str, pattern: str) -> str:
+        return f"CAST(len(regexp_extract_all({value}, {cls.lit(pattern)})) AS BIGINT)"
+
     EDGE = r"\b"
     LINES = "(?im)"
 

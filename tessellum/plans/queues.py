@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .registry import statement
+from .scoring import STRENGTH
 
 NOW = 883612800  # 1998-01-01T00:00:00Z, within the orders' dates
 
@@ -21,10 +22,11 @@ def backoff(q):
 
 @statement("drift_candidates", "claim")
 def drift(q):
-    """FLT18, SRT6, PIP6: verdicts older than 14 days, expired ones first."""
+    """FLT18, SRT6, PIP6: verdicts older than 14 days or past their date, the expired first, then what was checked longest ago; certainty would halve."""
     at = 1704067200 + 40 * 86400
-    return f"""SELECT id, certainty / 2 AS halved FROM {q.table("claim")} WHERE verdict IN ('verified', 'disputed') AND (created_s < {at} - 14 * 86400 OR id % 9 = 0)
-      ORDER BY CASE WHEN id % 9 = 0 THEN 0 ELSE 1 END, created_s, id LIMIT 100"""
+    expired = f"coalesce(valid_until_s < {at}, false)"
+    return f"""SELECT id, {expired} AS expired, certainty / 2 AS halved FROM {q.table("claim")} WHERE verdict IN ('verified', 'disputed') AND (created_s < {at} - 14 * 86400 OR {expired})
+      ORDER BY CASE WHEN {expired} THEN 0 ELSE 1 END, created_s NULLS FIRST, id LIMIT 100"""
 
 
 @statement("ttl_expire", "feedback")
@@ -33,11 +35,12 @@ def ttl(q):
     return f"SELECT id, CASE WHEN event_type = 'view' AND ts_s < (SELECT max(ts_s) FROM {q.table('feedback')}) - 86400 THEN 'expired' ELSE 'awaiting-pull' END AS status FROM {q.table('feedback')}"
 
 
-@statement("fqa_candidates", "feedback")
+@statement("fqa_candidates", "report")
 def fqa(q):
-    """FLT21, PIP11: weak failed reports of the last day, weakest first."""
-    f = q.table("feedback")
-    return f"SELECT id, value / 100.0 AS strength FROM {f} WHERE value / 100.0 < 0.8 AND event_type IN ('error', 'click') AND ts_s > (SELECT max(ts_s) FROM {f}) - 86400 ORDER BY value, id LIMIT 50"
+    """FLT21, PIP11: weak reports of failure of the last day that wait for more evidence, weakest first."""
+    r = q.table("report")
+    return f"""SELECT id, strength FROM (SELECT id, outcome, ts_s, CAST({STRENGTH} AS DOUBLE) AS strength FROM {r}) x WHERE strength < 0.8 AND outcome <> 'held' AND ts_s > (SELECT max(ts_s) FROM {r}) - 86400
+      ORDER BY strength, id LIMIT 50"""
 
 
 @statement("unclaimed_entries_anti", "entry", "claim")
@@ -54,11 +57,11 @@ def requeue(q):
       CASE WHEN f.claim_id IS NULL THEN o.attempts ELSE 0 END AS attempts FROM {q.table("queue")} o FULL OUTER JOIN f ON o.claim_id = f.claim_id"""
 
 
-@statement("enrichment_status", "feedback")
+@statement("enrichment_status", "report")
 def enrichment(q):
-    """RNK16-17: a report that held or is strong needs nothing; weak failures on trusted claims wait for the reporter, the rest is final."""
-    return f"""SELECT id, CASE WHEN event_type = 'purchase' OR s >= 0.8 THEN 'not-needed' WHEN event_type IN ('error', 'click') AND id % 20 >= 10 THEN 'awaiting-pull' ELSE 'finalized-inferred' END AS status
-      FROM (SELECT id, event_type, value / 100.0 AS s FROM {q.table("feedback")}) x"""
+    """RNK16-17: a report that held or is strong needs nothing; weak failures on claims of authority .5 or more wait for the reporter, the rest is final."""
+    return f"""SELECT id, CASE WHEN outcome = 'held' OR s >= 0.8 THEN 'not-needed' WHEN claim_authority >= 0.5 THEN 'awaiting-pull' ELSE 'finalized-inferred' END AS status
+      FROM (SELECT id, outcome, claim_authority, CAST({STRENGTH} AS DOUBLE) AS s FROM {q.table("report")}) x"""
 
 
 @statement("yearly_rollover", "queue")

@@ -31,7 +31,9 @@ def statement(name: str, *tables: str):
 def oracle(sql: str, *tables: str) -> str:
     """A DuckDB statement with the logical tables in front."""
     sql = doubles(sql)
-    heads = [f"{t} AS ({doubles(bindings.LOGICAL[t][0](Duck))})" for t in tables if t in bindings.LOGICAL]
+    below = [n for t in tables if t in bindings.LOGICAL for n in bindings.LOGICAL[t][1] if n in bindings.LOGICAL]
+    logical = [t for t in dict.fromkeys([*below, *tables]) if t in bindings.LOGICAL]
+    heads = [f"{t} AS ({doubles(bindings.LOGICAL[t][0](Duck))})" for t in logical]
     body = sql.strip()
     if not heads:
         return body

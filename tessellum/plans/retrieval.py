@@ -44,7 +44,7 @@ TERMS = ["the", "tion", "elle", "und"]
 @statement("search_or_terms", "entry", "entry_source")
 def search_or_terms(q):
     """RNK1, RNK2, SRT1, WIN5: any-term search; relevance min-max scaled over the candidate pool, then .5/.2/.3."""
-    tf = " + ".join(q.size(q.found("lower(content)", rf"(?:^|[^\p{{L}}\p{{N}}]){t}")) for t in TERMS)
+    tf = " + ".join(q.count("lower(content)", rf"(?:^|[^\p{{L}}\p{{N}}]){t}") for t in TERMS)
     return f"""WITH c AS (SELECT e.id, {tf} AS tf, a.authority, {FRESH} AS fresh FROM {q.table("entry")} e JOIN ({AUTHORITY.replace("{s}", q.table("entry_source"))}) a ON e.id = a.entry_id WHERE e.status = 'active'),
       p AS (SELECT * FROM c WHERE tf > 0 ORDER BY tf DESC, id DESC LIMIT 30),
       r AS (SELECT id, CASE WHEN max(tf) OVER () = min(tf) OVER () THEN 1.0 ELSE (tf - min(tf) OVER ()) * 1.0 / (max(tf) OVER () - min(tf) OVER ()) END AS rel, authority, fresh FROM p)

@@ -58,14 +58,15 @@ def entry_authority(q):
     return f"SELECT entry_id, round(authority, 6) AS authority FROM ({AUTHORITY.replace('{s}', q.table('entry_source'))}) a"
 
 
-STRENGTH = """round(least(1.0, 0.1 + CASE WHEN id % 2 = 0 THEN 0.3 WHEN id % 3 = 0 THEN 0.15 ELSE 0 END + CASE WHEN value / 100.0 >= 0.7 THEN 0.2 ELSE 0 END
-  + CASE WHEN id % 5 = 0 THEN 0.2 WHEN id % 7 = 0 THEN 0.1 ELSE 0 END + CASE WHEN id % 11 = 0 THEN 0.1 ELSE 0 END + CASE WHEN id % 13 = 0 THEN 0.1 WHEN id % 17 = 0 THEN 0.05 ELSE 0 END), 3)"""
+STRENGTH = """round(least(1.0, 0.1 + CASE WHEN counter_source_url <> '' THEN 0.3 WHEN counter_source_url_inferred <> '' THEN 0.15 ELSE 0.0 END + CASE WHEN counter_nli_score >= 0.7 THEN 0.2 ELSE 0.0 END
+  + CASE WHEN failure_dimension <> '' THEN 0.2 WHEN failure_dimension_inferred <> '' THEN 0.1 ELSE 0.0 END + CASE WHEN context_domain <> '' OR context_scope <> '' THEN 0.1 ELSE 0.0 END
+  + CASE WHEN partial_truth IS NOT NULL THEN 0.1 WHEN partial_truth_inferred IS NOT NULL THEN 0.05 ELSE 0.0 END), 3)"""
 
 
-@statement("feedback_strength", "feedback")
+@statement("feedback_strength", "report")
 def strength(q):
     """RNK5: evidence strength of a report, direct evidence before inferred, at most 1."""
-    return f"SELECT id, CAST({STRENGTH} AS DOUBLE) AS strength FROM {q.table('feedback')}"
+    return f"SELECT id, CAST({STRENGTH} AS DOUBLE) AS strength FROM {q.table('report')}"
 
 
 @statement("entry_feedback_multiplier", "feedback")
@@ -75,11 +76,11 @@ def multiplier(q):
       WHEN p = 0 THEN 0.05 ELSE least(1.0, p * 1.1) END, 6) AS authority FROM (SELECT id, signal, CAST((id % 21) / 20.0 AS DOUBLE) AS p FROM {q.table("feedback")}) x"""
 
 
-@statement("claim_authority_delta", "feedback")
+@statement("claim_authority_delta", "report")
 def claim_delta(q):
     """RNK7, MTH3: authority moves by strength x reporter trust x .05, up if the claim held."""
-    return f"""SELECT id, round(greatest(0.0, least(1.0, p + CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END * s * 0.5 * 0.05)), 6) AS authority
-      FROM (SELECT id, event_type, CAST((id % 21) / 20.0 AS DOUBLE) AS p, CAST({STRENGTH} AS DOUBLE) AS s FROM {q.table("feedback")}) x"""
+    return f"""SELECT id, round(greatest(0.0, least(1.0, claim_authority + CASE WHEN outcome = 'held' THEN 1 ELSE -1 END * s * reporter_trust * 0.05)), 6) AS authority
+      FROM (SELECT id, outcome, claim_authority, reporter_trust, CAST({STRENGTH} AS DOUBLE) AS s FROM {q.table("report")}) x"""
 
 
 @statement("reporter_ema", "feedback")

@@ -15,3 +15,6 @@ ORACLES["stream_session_users"] = """WITH g AS (SELECT user_id, ts, CASE WHEN ts
 
 QUERIES["stream_dedup_events"] = lambda spark, d: st.drain(st.distinct_events(st.events(spark, d)), "append")
 ORACLES["stream_dedup_events"] = "SELECT DISTINCT event_id, ts, event_type FROM events"
+
+# the decisions depend on one another, which SQL can't express; a test holds them against the batch operator and a plain fold
+QUERIES["stream_rate_limit_state"] = lambda spark, d: st.drain(st.limited(st.events(spark, d)), "append")

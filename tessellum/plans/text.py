@@ -92,8 +92,8 @@ def derive(q):
 @statement("semantic_garbage", "documents")
 def garbage(q):
     """FLT24: symbol dumps and endless lines; texts under 200 characters pass."""
-    alpha = q.size(q.found("text", r"[A-Za-z\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]"))
-    marks = q.size(q.found("text", "[.!?。！？]"))
+    alpha = q.count("text", r"[A-Za-z\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]")
+    marks = q.count("text", "[.!?。！？]")
     return f"SELECT doc_id, CASE WHEN length(text) < 200 THEN false WHEN {alpha} * 1.0 / length(text) < 0.4 THEN true WHEN {marks} = 0 AND length(text) > 600 THEN true ELSE false END AS garbage FROM {q.table('documents')}"
 
 

@@ -33,8 +33,8 @@ def escalation(q):
 def cascade(q):
     """RNK12: cross-reference first, then a conflict in the graph, then the sources' log-odds; the first that decides holds."""
     return f"""WITH e AS (SELECT claim_id, count(CASE WHEN entailment >= 0.8 THEN 1 END) AS pro, count(CASE WHEN contradiction >= 0.4 THEN 1 END) AS con, round(sum((entailment - contradiction) * authority * 4), 9) AS x FROM {q.table("evidence")} GROUP BY claim_id),
-      k AS (SELECT claim_id, max(weight) AS w FROM {q.table("kg_relation")} GROUP BY claim_id)
-      SELECT e.claim_id, CASE WHEN pro >= 3 AND con = 0 THEN 'verified' WHEN coalesce(k.w, 0) >= 0.1 THEN 'disputed' WHEN 1 / (1 + exp(-x)) >= 0.7 THEN 'verified' WHEN 1 / (1 + exp(-x)) <= 0.3 THEN 'disputed' ELSE 'unverified' END AS verdict
+      k AS (SELECT claim_id, least(0.95, 0.7 + 0.05 * least(count(*), 5)) AS w FROM {q.table("kg_relation")} WHERE weight >= 0.09 GROUP BY claim_id)
+      SELECT e.claim_id, CASE WHEN pro >= 3 AND con = 0 THEN 'verified' WHEN coalesce(k.w, 0) >= 0.7 THEN 'disputed' WHEN 1 / (1 + exp(-x)) >= 0.7 THEN 'verified' WHEN 1 / (1 + exp(-x)) <= 0.3 THEN 'disputed' ELSE 'unverified' END AS verdict
       FROM e LEFT JOIN k ON e.claim_id = k.claim_id"""
 
 

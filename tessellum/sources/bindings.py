@@ -47,7 +47,7 @@ def _entry_source(q) -> str:
 
 def _claim(q) -> str:
     return f"""SELECT vec_id AS id, CAST(label AS BIGINT) AS entry_id, {q.pick(["'unverified'", "'verified'", "'disputed'", "'not-applicable'"], "vec_id % 4")} AS verdict,
-      (vec_id % 100) / 100.0 AS certainty, embedding, {START} + vec_id * 7200 AS created_s FROM {q.table("embeddings")}"""
+      (vec_id % 100) / 100.0 AS certainty, embedding, {START} + vec_id * 7200 AS created_s, CASE WHEN vec_id % 9 < 2 THEN {START} + vec_id * 9000 END AS valid_until_s FROM {q.table("embeddings")}"""
 
 
 def _claim_relation(q) -> str:
@@ -82,6 +82,16 @@ def _queue(q) -> str:
       o_orderkey % 4 AS attempts, {epoch} + 60 * (o_orderkey % 4) AS next_s FROM {q.table("orders")}"""
 
 
+def _report(q) -> str:
+    """Claim feedback: an outcome, what the reporter gave as evidence or what was inferred, and the standing of reporter and claim."""
+    t = q.table("feedback")
+    return f"""SELECT id, agent_id, entry_id, ts_s, CASE WHEN event_type = 'purchase' THEN 'held' WHEN event_type = 'click' THEN 'partial' ELSE 'failed' END AS outcome, signal,
+      CASE WHEN id % 2 = 0 THEN 'https://counter.example.org/' || CAST(id AS VARCHAR(20)) END AS counter_source_url, CASE WHEN id % 3 = 0 THEN 'https://guess.example.org' END AS counter_source_url_inferred,
+      CASE WHEN id % 4 < 3 THEN value / 100.0 END AS counter_nli_score, CASE WHEN id % 5 = 0 THEN 'time-expired' END AS failure_dimension, CASE WHEN id % 7 = 0 THEN 'scope-too-broad' END AS failure_dimension_inferred,
+      CASE WHEN id % 11 = 0 THEN 'databases' END AS context_domain, CASE WHEN id % 23 = 0 THEN 'on one machine' END AS context_scope, CASE WHEN id % 13 = 0 THEN 0.5 END AS partial_truth,
+      CASE WHEN id % 17 = 0 THEN 0.25 END AS partial_truth_inferred, CAST((agent_id % 11) / 10.0 AS DOUBLE) AS reporter_trust, CAST((id % 21) / 20.0 AS DOUBLE) AS claim_authority FROM {t}"""
+
+
 def _golden(q) -> str:
     return f"""SELECT d.doc_id AS id, d.lang AS kind, CASE WHEN quality = 1 THEN 'keep' ELSE 'drop' END AS expected,
       CASE WHEN n_chars >= 500 THEN 'keep' ELSE 'drop' END AS predicted FROM {q.table("labels")} l JOIN {q.table("documents")} d ON l.doc_id = d.doc_id"""
@@ -99,6 +109,7 @@ LOGICAL = {
     "entity": (_entity, ["supplier", "part", "nation"]),
     "kg_relation": (_kg_relation, ["lineitem", "supplier"]),
     "feedback": (_feedback, ["events"]),
+    "report": (_report, ["feedback"]),
     "queue": (_queue, ["orders"]),
     "golden": (_golden, ["labels", "documents"]),
     "evidence": (_evidence, ["lineitem"]),

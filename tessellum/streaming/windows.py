@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import feedback
 from ..sources.bindings import shared_folder
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -35,6 +36,13 @@ def distinct_events(stream: DataFrame) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "ts", "event_type")
 
 
+def limited(stream: DataFrame) -> DataFrame:
+    """STR5: which reports on an entry pass the rate limit, with the state of each entry kept between batches."""
+    k = F.regexp_extract("props", "[0-9]+", 0).cast("long")
+    reports = stream.select(F.col("event_id").alias("id"), F.col("user_id").alias("agent_id"), k.alias("entry_id"), F.unix_seconds("ts").alias("ts_s"))
+    return feedback.rate_limit_stream(reports)
+
+
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what is there; its result as a table in the folder of spark.checkpoint.dir."""
     spark = stream.sparkSession

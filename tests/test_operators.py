@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessellum.functions import models, text
-from tessellum.operators import evidence, graph, ingest, retrieval, sinks, vectors
+from tessellum.operators import evidence, feedback, graph, ingest, retrieval, sinks, vectors
+from tessellum.plans import registry
 from tessellum.sources.bindings import AS_OF, load, shared_folder
 
 SF = "/root/testdata/sf0.001"
@@ -229,3 +230,24 @@ def test_ingest(spark):
     with pytest.raises(RuntimeError):
         store.version = lambda: 1
         store.commit(append={"entry": store.read("entry", 1)})
+
+
+def test_rate_limits_agree(spark):
+    reports = load(spark, SF, "feedback").select("id", "agent_id", "entry_id", "ts_s").toPandas().sort_values(["ts_s", "id"])
+    kept, expected = {}, {}
+    for r in reports.itertuples():
+        on = [x for x in kept.get(r.entry_id, []) if x[0] > r.ts_s - 3600]
+        expected[r.id] = len(on) < 10 and all(a != r.agent_id for _, a in on)
+        kept[r.entry_id] = on + [(r.ts_s, r.agent_id)] * expected[r.id]
+    assert not all(expected.values())
+    for name in ("rate_limit_exact", "stream_rate_limit_state"):
+        assert {r.id: r.accepted for r in registry.QUERIES[name](spark, SF).collect()} == expected
+
+
+def test_feedback_is_routed(spark):
+    reports = spark.createDataFrame([(1, 9, "negative", "wrong", "see x"), (2, 9, "negative", "outdated", None), (3, 9, "negative", "unclear", None)], "entry_id long, agent_id long, signal string, reason string, note string")
+    claims = spark.createDataFrame([(10, 1), (11, 1), (20, 2), (30, 3)], "id long, entry_id long")
+    queue = spark.createDataFrame([(10, 150, 2), (30, 5, 1)], "claim_id long, priority long, attempts long")
+    got = feedback.route(reports, claims, queue, AS_OF)
+    assert rows(got["verify_queue"]) == [(10, 150, 0), (11, 100, 0), (20, 100, 0), (30, 5, 1)]
+    assert [r.reason for r in got["feedback_log"].orderBy("entry_id").collect()] == ["wrong:see x", "outdated", "unclear"] and [r.entry_id for r in got["outdated"].collect()] == [2]
