@@ -88,10 +88,12 @@ def test_slugs_and_keys_are_of_whole_texts(spark, long_texts):
     path, head = long_texts
     slugs = {r.doc_id: r.slug for r in registry.QUERIES["slugify"](spark, path).collect()}
     assert slugs[0] == head.replace(" ", "-") + "one" and slugs[1].endswith("-two") and slugs[2] == "words-after-marks"
-    keys = {r.doc_id: r.key for r in registry.QUERIES["claim_key_whole"](spark, path).collect()}
+    keys = {r.doc_id: r.key for r in registry.QUERIES["claim_key_gate"](spark, path).collect()}
     assert keys == {0: head + "one", 1: head + "two", 2: "words after marks", 3: "a title of one line " + head.strip(), 5: "fine print"}
-    titles = {r.doc_id: r.title for r in registry.QUERIES["normalize_title_derived"](spark, path).collect()}
-    assert titles[3] == "a title of one line"
+    titles = {r.doc_id: r.title for r in registry.QUERIES["normalize_title"](spark, path).collect()}
+    assert titles[2] == "words after marks" and titles[1] == head + "two"
+    derived = {r.doc_id: r.title for r in registry.QUERIES["derive_title"](spark, path).collect()}
+    assert derived[3] == "A Title: of one line" and derived[0] == head[:120].strip()
 
 
 def test_numbers_are_compared_in_canonical_form(spark, tmp_path):
@@ -99,10 +101,10 @@ def test_numbers_are_compared_in_canonical_form(spark, tmp_path):
              ("costs $5M", "costs $5B", True), ("costs $5M", "paid $5M", False), ("in 1999 and 2004", "in 2004", True), ("in 2004", "in 1999 and 2004", False), ("in 2004", "7B", False)]
     rows = [(10 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p[:2])]
     spark.createDataFrame([*rows, (500, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.contradicts for r in registry.QUERIES["numeric_contradiction_canonical"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.contradicts for r in registry.QUERIES["numeric_contradiction"](spark, str(tmp_path)).collect()}
     assert got == {10 * i: p[2] for i, p in enumerate(pairs)}
-    facts = {r.doc_id: r for r in registry.QUERIES["numeric_facts_canonical"](spark, str(tmp_path)).collect()}
-    assert facts[0].scale == "770M" and facts[10].scale == "40K" and facts[20].version == "1.2" and facts[40].money == "$5M" and facts[500].year == ""
+    facts = {r.doc_id: r for r in registry.QUERIES["numeric_facts"](spark, str(tmp_path)).collect()}
+    assert facts[0].scale == "770M" and facts[10].scale == "40K" and facts[20].version == "1.2" and facts[40].money == "$5M" and facts[500].year is None
 
 
 def test_sessions_cover_the_whole_table(spark):
