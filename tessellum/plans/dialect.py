@@ -83,6 +83,8 @@ class Spark:
 
     #: Where a run of ASCII letters, digits and underscores begins or ends.
     EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+    #: The same before and after a number (or a v and a number); what it begins with is looked at first, which is cheap.
+    NUMBER = (r"(?=[0-9v])(?<![0-9A-Za-z_])", r"(?![0-9A-Za-z_])")
     #: Flags under which ^ stands after each line feed, whatever the case.
     LINES = "(?dim)"
 
@@ -189,6 +191,7 @@ class Duck(Spark):
         return f"CAST(len(regexp_extract_all({value}, {cls.lit(pattern)})) AS BIGINT)"
 
     EDGE = r"\b"
+    NUMBER = (r"\b", r"\b")
     LINES = "(?im)"
 
     @staticmethod

@@ -46,13 +46,23 @@ def spelled(q, pattern: str) -> str:
     return pattern.replace("<", q.EDGE).replace("~", SPACE).replace("LINES", q.LINES)
 
 
+def number(q, kind: str) -> str:
+    """The pattern of a kind of number; its first edge is before a digit or v, its last behind a letter or digit."""
+    pattern, (first, last) = NUMBERS[kind], q.NUMBER
+    if pattern.startswith("<"):
+        pattern = first + pattern[1:]
+    if pattern.endswith("<"):
+        pattern = pattern[:-1] + last
+    return pattern.replace("~", SPACE)
+
+
 def negated(q, text: str) -> str:
     return "(" + " OR ".join(q.matches(text, spelled(q, p)) for p in NEGATIONS) + ")"
 
 
 def canonical(q, text: str, kind: str) -> str:
     """The numbers of a kind in canonical form: no v before a version, no space before a unit, units of scale upper-case."""
-    found = q.found(text, spelled(q, NUMBERS[kind]))
+    found = q.found(text, number(q, kind))
     return {
         "version": q.each(found, q.replace("x", "^[Vv]", "")),
         "percentage": q.each(found, q.replace("x", SPACE, "")),
@@ -131,7 +141,7 @@ def contradiction(q):
 def claim_year(q):
     """DTM4: the latest year from 1950 on that is mentioned."""
     last = "array_max" if q.__name__ == "Spark" else "list_max"
-    year = f"CAST({last}({q.found('text', spelled(q, NUMBERS['year']))}) AS INT)"
+    year = f"CAST({last}({q.found('text', number(q, 'year'))}) AS INT)"
     return f"SELECT doc_id, CASE WHEN {year} >= 1950 THEN {year} END AS year FROM {q.table('documents')}"
 
 
@@ -139,7 +149,7 @@ def claim_year(q):
 def too_old(q):
     """FLT28: published more than a year before the first day of the latest year that the text names; without a year never."""
     last = "array_max" if q.__name__ == "Spark" else "list_max"
-    year = f"CAST({last}({q.found('content', spelled(q, NUMBERS['year']))}) AS INT)"
+    year = f"CAST({last}({q.found('content', number(q, 'year'))}) AS INT)"
     first = "unix_date(make_date(year, 1, 1))" if q.__name__ == "Spark" else "date_diff('day', DATE '1970-01-01', make_date(year, 1, 1))"
     return f"SELECT id, coalesce(year >= 1950 AND created_s < 86400 * ({first} - 365), false) AS too_old FROM (SELECT id, created_s, {year} AS year FROM {q.table('entry')}) y"
 
