@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessellum.functions import models, text
-from tessellum.operators import evidence, feedback, graph, ingest, retrieval, sinks, vectors
+from tessellum.operators import evidence, feedback, graph, ingest, retrieval, sinks, vectors, workers
 from tessellum.plans import registry
 from tessellum.sources.bindings import AS_OF, load, shared_folder
 
@@ -251,3 +251,41 @@ def test_feedback_is_routed(spark):
     got = feedback.route(reports, claims, queue, AS_OF)
     assert rows(got["verify_queue"]) == [(10, 150, 0), (11, 100, 0), (20, 100, 0), (30, 5, 1)]
     assert [r.reason for r in got["feedback_log"].orderBy("entry_id").collect()] == ["wrong:see x", "outdated", "unclear"] and [r.entry_id for r in got["outdated"].collect()] == [2]
+
+
+def test_workers(spark):
+    queue = spark.createDataFrame([(1, 10, 0, 0, 0), (2, 10, -7200, 1, 0), (3, 90, 0, 3, 0), (4, 90, 0, 0, 999), (5, 12, 0, 2, None)], "claim_id long, priority long, queued_s long, attempts long, next_s long")
+    assert [(r.claim_id, r["rank"]) for r in workers.due(queue, 0).collect()] == [(2, 14.0), (5, 12.0), (1, 10.0)]
+    done = workers.after_attempts(queue, spark.createDataFrame([(1, True), (2, False), (5, False)], "claim_id long, ok boolean"), 100)
+    assert rows(done["verify_queue"]) == [(2, 10, -7200, 2, 100 + 60 * 25), (3, 90, 0, 3, 0), (4, 90, 0, 0, 999)] and rows(done["finalized"]) == [(5, "unverified", 0.0)]
+    reports = spark.createDataFrame([(1, "awaiting-pull", 0), (2, "awaiting-pull", 50_000), (3, "final", 0)], "id long, status string, since_s long")
+    after, gone = workers.expire(reports, 90_000)
+    assert [r.status for r in after.orderBy("id").collect()] == ["expired", "awaiting-pull", "final"] and rows(gone) == [(1,)]
+    claims = spark.createDataFrame([(1, "verified", 0.8, 0.8), (2, "verified", 0.8, 0.8), (3, "disputed", 0.6, 0.6)], "id long, verdict string, certainty double, authority double")
+    checks = spark.createDataFrame([(1, "unverified", 0.1), (2, "disputed", 0.9)], "id long, verdict string, certainty double")
+    assert rows(workers.drift(claims, checks)) == [(1, "verified", 0.4, 0.4, None), (2, "disputed", 0.9, 0.9, "verified"), (3, "disputed", 0.6, 0.6, None)]
+    domains = spark.createDataFrame([(1, "general"), (2, "general"), (2, "db"), (3, "general")], "entry_id long, domain string")
+    found = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "x")], "entry_id long, domain string")
+    assert rows(workers.reclassify(domains, found)) == [(1, "a"), (1, "b"), (2, "db"), (2, "general"), (3, "general")]
+    held = spark.createDataFrame([("01HX000000ABC", 1714765692928), ("01HX000000ABD", 1714765692928)], "id string, created_ms long")
+    assert [r.id for r in workers.lookup(held, "01HX000000ABC").collect()] == ["01HX000000ABC"]
+    with pytest.raises(ValueError):
+        workers.lookup(held, "x")
+    urls = ["https://www.example.org/a", "http://ads.example.org", "https://badexample.org", "no url", None, "https://sub.example.org:80/"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert [r[0] for r in df.select(workers.host_passes("url", ["example.org"], ["ads.example.org"])).collect()] == [True, False, False, False, False, True]
+    assert [r[0] for r in df.select(workers.host_passes("url")).collect()] == [True, True, True, False, False, True]
+    counts = spark.createDataFrame([("b_total", "ok", 3.0), ("a", None, 0.5)], "name string, label string, value double")
+    assert workers.metrics_text(counts) == 'a 0.5\nb_total{label="ok"} 3\n'
+
+
+def test_research_ingests_what_passes(spark):
+    store = sinks.Snapshots(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    assert workers.health(store) == {"ok": True, "version": 0}
+    about = "A vector index ( such as this one ) finds near points . It keeps them sorted , and answers queries quickly . "
+    hits = [("1", "https://a.org/x", "Vector index", about, "official-docs", "en"), ("2", "https://a.org/x", "Vector index", about, None, "en"), ("3", "https://blocked.org/", "Vector index", about * 2, None, "en"),
+            ("4", "https://b.org/", "Cooking", "Beans and rice are cooked slowly for a long time with onions, garlic and a bay leaf.", None, "en")]
+    df = spark.createDataFrame(hits, "id string, url string, title string, content string, source_type string, language string")
+    assert workers.research(store, df, "vector index", AS_OF, block=["blocked.org"]) == 1
+    got = store.read("entry").collect()
+    assert [(r.entry_id, r.authority) for r in got] == [("1-0", 0.9)] and got[0].content.startswith("A vector index (such as this one) finds near points. It keeps")
