@@ -131,8 +131,8 @@ def op10_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in batches:
             ids, texts, spans = batch.columns
             n, removed, digests = [], [], []
-            for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-                words, kept, at = t.split(), [], 0
+            for t, s in zip(texts, spans.to_pylist(), strict=True):
+                words, kept, at = t.as_py().split(), [], 0
                 for x in s or ():
                     kept += words[at : x["start"]]
                     at = x["stop"]

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from .classifier import _SPACE, _mix, _tables
 from .common import materialize
 
-PIECE = 1 << 20
+#: Symbols scanned at once; what a task holds beside its batch is some twenty arrays of this length.
+PIECE = 1 << 18
 _LOW = np.uint64(PIECE - 1)
 #: Anchors of more different superwindows than this are split by window content.
 WIDE = 16
@@ -37,7 +38,7 @@ KEY = ["anchor", "c", "c2"]
 def superwindows(symbols: np.ndarray, bounds: np.ndarray, window: int, gram: int):
     """(start, number of windows, anchor's offset, anchor hash, two content hashes) of the superwindows of a piece.
 
-    ``symbols`` (uint64, at most 2**20) holds texts end to end, with ends ``bounds``;
+    ``symbols`` (uint64, at most PIECE) holds texts end to end, with ends ``bounds``;
     starts are positions in it. The leftmost of equal least hashes is the anchor.
     """
     none = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 3
@@ -89,10 +90,7 @@ def _second(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 def _word_symbols(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of texts that stand end to end in ``data``, and the texts' ends counted in words."""
-    if len(data) > PIECE:
-        hashes = [xxhash.xxh64_intdigest(w) for w in data.tobytes().split()]
-        return np.array(hashes, np.uint64), np.array([len(hashes)])
+    """Hash of every word of texts that stand end to end in ``data`` (at most PIECE bytes), and the texts' ends counted in words."""
     power, inverse = _tables()
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
@@ -110,24 +108,36 @@ def _word_symbols(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _long_word_symbols(text: bytes) -> np.ndarray:
-    """The same hashes for a text of more than one piece, from pieces that end between words."""
-    out, rest = [], text
-    while rest:
-        cut = len(rest)
-        if cut > PIECE:
-            cut = max((rest.rfind(bytes([x]), 0, PIECE) for x in (32, 9, 10, 11, 12, 13)), default=-1) + 1
-            if not cut:  # one word longer than a piece
-                first, _, _ = rest.lstrip().partition(b" ")
-                word = first.split()[0] if first.split() else b""
-                out.append(np.array([xxhash.xxh64_intdigest(word)], np.uint64))
-                rest = rest[rest.index(word) + len(word) :]
+    """The same hashes for a text of more than one piece, from pieces that end between words.
+
+    A word longer than a piece has a hash of its own; one of a piece or less always has that of ``_word_symbols``.
+    """
+    data, out, at = np.frombuffer(text, np.uint8), [], 0
+    while at < len(data):
+        part = data[at : at + PIECE]
+        if at + PIECE < len(data) and not _SPACE[data[at + PIECE]]:
+            gaps = np.flatnonzero(_SPACE[part])
+            if not len(gaps):
+                stop = _word_end(data, at)
+                out.append(np.array([xxhash.xxh64_intdigest(text[at:stop])], np.uint64))
+                at = stop
                 continue
-        data = np.frombuffer(rest[:cut], np.uint8)
-        out.append(_word_symbols(data, np.array([len(data)]))[0])
-        rest = rest[cut:]
+            part = part[: gaps[-1] + 1]
+        out.append(_word_symbols(part, np.array([len(part)]))[0])
+        at += len(part)
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def _word_end(data: np.ndarray, at: int) -> int:
+    """Where the word that holds ``at`` ends."""
+    while at < len(data):
+        gaps = np.flatnonzero(_SPACE[data[at : at + PIECE]])
+        if len(gaps):
+            return at + int(gaps[0])
+        at += PIECE
+    return len(data)
+
+
 def symbols_of(text: bytes, unit: str) -> np.ndarray:
     """A whole text as symbols."""
     if unit == "bytes":

@@ -193,6 +193,37 @@ def test_texts_longer_than_a_piece(spark):
     assert b - a >= len(inner) and at > 0
 
 
+def test_repeats_at_every_joint_of_pieces(spark):
+    rng = random.Random(6)
+    long = "".join(rng.choices("abcdefghij", k=4 * windows.PIECE))
+    joints = [k * (windows.PIECE - 1024) + shift for k in (1, 2, 3) for shift in (-300, 0, 724, 900, 1024)]
+    rows = [(0, long)] + [(1 + i, "é" + long[a : a + 260] + "ü") for i, a in enumerate(joints)]
+    got = {r.doc_id: [(s.start, s.stop) for s in r.spans or ()] for r in substring_dedup.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want: list[list[int]] = []
+    for a in sorted(joints):
+        if want and a <= want[-1][1]:
+            want[-1][1] = a + 260
+        else:
+            want.append([a, a + 260])
+    assert got.pop(0) == [tuple(x) for x in want]
+    assert all(x == [(2, 262)] for x in got.values())
+
+
+def test_words_of_long_texts_have_the_hashes_of_short_ones(monkeypatch):
+    rng = random.Random(7)
+    for _ in range(200):
+        words = [bytes(rng.choices(b"abc", k=rng.choice([1, 5, 31, 32, 33, 80]))) for _ in range(rng.randint(0, 30))]
+        text = b"".join(w + bytes(rng.choices(b" \n\t", k=rng.randint(1, 40))) for w in words)
+        text = rng.choice([text, b" " * 40 + text, text.rstrip()])
+        monkeypatch.setattr(windows, "PIECE", 32)
+        got = windows.symbols_of(text, "words")
+        monkeypatch.undo()
+        each = [windows.symbols_of(w, "words")[0] for w in words]
+        assert len(got) == len(words)
+        assert all(g == e for g, e, w in zip(got, each, words, strict=True) if len(w) <= 32)
+        assert len(set(got.tolist())) == len(set(words))
+
+
 def test_maximal_repeats_have_all_occurrences():
     texts = [b"__abcdefgh--", b"++abcdefgh==", b"abcdefghxyz", b"qqqqq"]
     got = dict(windows.maximal_repeats(texts, [len(t) - 3 for t in texts], 4))
