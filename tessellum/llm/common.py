@@ -61,6 +61,15 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast at most to choose rows by them, about 20 MB; more are joined by a shuffle of the rows.
+BROADCAST_IDS = 1 << 19
+
+
+def chosen(rows: DataFrame, ids: DataFrame, how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows whose key, the one column of ids, is among ids, or is not (left_anti); few ids, counted first, go to the rows, which are then not shuffled."""
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids.hint("merge"), ids.columns[0], how)
+
+
 class Scratch:
     """Intermediate tables in the shared folder, dropped together once what was made of them is written."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessellum.llm import classifier, components, exact_dedup, mixing, packing, quality_rules, sharding, simhash, similarity, substring_dedup, warc, windows
-from tessellum.llm.common import new_path
+from tessellum.llm.common import chosen, materialize, new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -637,3 +637,22 @@ def test_rows_of_shared_keys_pass_batch_by_batch():
         for k, n in rows:
             groups[k].append(n)
         assert got == sorted((k, n, min(ns)) for k, ns in groups.items() if len(ns) > 1 for n in ns)
+
+
+def test_near_copies_neither_copy_nor_shuffle_the_texts(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(corpus_pipeline, "materialize", lambda df, what: written.append((what, df.columns)) or materialize(df, what))
+    text = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(12)]
+    rows = [(i, text[i % 9] + (" end" if i > 8 else ""), "en", "src0", 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = corpus_pipeline.near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in got.collect()) == list(range(9))
+    assert not [what for what, columns in written if "text" in columns]
+    ids = spark.createDataFrame([(3,), (5,)], "doc_id long")
+    for most in (0, 2):
+        assert sorted(r.doc_id for r in chosen(docs, ids, most=most).collect()) == [3, 5]
+        assert sorted(r.doc_id for r in chosen(docs, ids, "left_anti", most).collect()) == [i for i in range(12) if i not in (3, 5)]
+    assert "BroadcastHashJoin" in chosen(docs, ids)._jdf.queryExecution().executedPlan().toString()
+    # ids that repeat or lack don't name rows
+    odd = spark.createDataFrame([(None if i % 5 == 0 else 1, *r[1:]) for i, r in enumerate(rows)], SCHEMA)
+    assert corpus_pipeline.near_copies(spark, odd, "").count() == 9 and [what for what, columns in written if "text" in columns] == ["near-rows"]
