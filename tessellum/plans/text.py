@@ -150,7 +150,7 @@ def too_old(q):
     """FLT28: published more than a year before the first day of the latest year that the text names; without a year never."""
     last = "array_max" if q.__name__ == "Spark" else "list_max"
     year = f"CAST({last}({q.found('content', number(q, 'year'))}) AS INT)"
-    first = "unix_date(make_date(year, 1, 1))" if q.__name__ == "Spark" else "date_diff('day', DATE '1970-01-01', make_date(year, 1, 1))"
+    first = "CAST(unix_date(make_date(year, 1, 1)) AS BIGINT)" if q.__name__ == "Spark" else "date_diff('day', DATE '1970-01-01', make_date(year, 1, 1))"
     return f"SELECT id, coalesce(year >= 1950 AND created_s < 86400 * ({first} - 365), false) AS too_old FROM (SELECT id, created_s, {year} AS year FROM {q.table('entry')}) y"
 
 

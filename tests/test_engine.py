@@ -121,3 +121,26 @@ def test_sessions_cover_the_whole_table(spark):
     got = registry.QUERIES["stream_session_users"](spark, SF).collect()
     assert sorted([r.user_id, r["from"].timestamp(), r["to"].timestamp(), r.n] for r in got) == sorted(expected)
     assert sum(r.n for r in got) == len(rows)
+
+
+def _odd(spark, tmp_path, duck_tables, names):
+    """The rows of queries over tables of our own, in both engines; DuckDB on one thread, as sums of doubles depend on it."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    for t, sql in duck_tables.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{t}.parquet' (ROW_GROUP_SIZE 2048)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    for name in names:
+        df = registry.QUERIES[name](spark, str(tmp_path))
+        r = con.execute(registry.ORACLES[name])
+        cols = [d[0] for d in r.description]
+        yield name, sorted(map(tuple, df.select(*cols).collect()), key=str), sorted(r.fetchall(), key=str)
+
+
+def test_late_years_do_not_overflow(spark, tmp_path):
+    texts = ["in 2199", "in 2038 and 2039", "none", "in 1949", "in 1950", "in 2100"]
+    rows = ", ".join(f"(CAST({i} AS BIGINT), '{t}', 'en', 'src1', CAST(9 AS BIGINT))" for i, t in enumerate(texts))
+    for _, got, want in _odd(spark, tmp_path, {"documents": f"SELECT * FROM (VALUES {rows}) t(doc_id, text, lang, source, n_chars)"}, ["source_too_old"]):
+        assert got == want == [(0, True), (1, True), (2, False), (3, False), (4, False), (5, True)]
