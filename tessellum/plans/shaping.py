@@ -177,7 +177,7 @@ def script_route(q):
 @statement("answer_parse", "conversations")
 def answer(q):
     """STX35: yes, no or neither at the start of an answer, with the confidence of each."""
-    yes, no = q.matches("lower(trim(text))", r"^yes\b"), q.matches("lower(trim(text))", r"^no\b")
+    yes, no = (q.matches(f"lower({q.trim('text')})", f"^{word}{q.ENDS}") for word in ("yes", "no"))
     return f"SELECT conv_id, turn, {yes} AS supported, CASE WHEN {yes} OR {no} THEN 0.85 ELSE 0.3 END AS confidence FROM {q.table('conversations')}"
 
 

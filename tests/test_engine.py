@@ -139,6 +139,13 @@ def _odd(spark, tmp_path, duck_tables, names):
         yield name, sorted(map(tuple, df.select(*cols).collect()), key=str), sorted(r.fetchall(), key=str)
 
 
+def test_answers_end_and_begin_as_in_sql(spark, tmp_path):
+    texts = ["Yes.", "yesé", "nó", "noél", "yes是", "no_", "no1", " yes", "　no way", "\tno", "yes\n", "​yes", "  YES!", "nope", "", " ", "no‍"]
+    rows = ", ".join(f"({i}, 0, '{t}')" for i, t in enumerate(texts)) + ", (99, 0, NULL)"
+    for _, got, want in _odd(spark, tmp_path, {"conversations": f"SELECT * FROM (VALUES {rows}) t(conv_id, turn, text)"}, ["answer_parse"]):
+        assert got == want and len(got) == len(texts) + 1
+
+
 def test_late_years_do_not_overflow(spark, tmp_path):
     texts = ["in 2199", "in 2038 and 2039", "none", "in 1949", "in 1950", "in 2100"]
     rows = ", ".join(f"(CAST({i} AS BIGINT), '{t}', 'en', 'src1', CAST(9 AS BIGINT))" for i, t in enumerate(texts))
