@@ -25,8 +25,9 @@ def cove(q):
 @statement("escalation_vote", "evidence")
 def escalation(q):
     """RNK10: votes move a middling certainty: all agree +.15 up to .95, none halves it, mixed x .85."""
-    return f"""SELECT claim_id, round(CASE WHEN c < 0.4 OR c >= 0.7 THEN c WHEN agree = n THEN least(0.95, c + 0.15) WHEN agree = 0 THEN c * 0.5 ELSE c * 0.85 END, 6) AS certainty FROM (
-      SELECT claim_id, CAST(avg(authority) AS DOUBLE) AS c, count(CASE WHEN entailment > contradiction THEN 1 END) AS agree, count(*) AS n FROM {q.table("evidence")} GROUP BY claim_id) x"""
+    moved = "CASE WHEN c < 0.4 OR c >= 0.7 THEN c WHEN agree = n THEN least(0.95, c + 0.15) WHEN agree = 0 THEN c * 0.5 ELSE c * 0.85 END"
+    return f"""SELECT claim_id, {q.rounded(moved)} AS certainty FROM (
+      SELECT claim_id, CAST({q.mean("authority", "authority")} AS DOUBLE) AS c, count(CASE WHEN entailment > contradiction THEN 1 END) AS agree, count(*) AS n FROM {q.in_order("evidence", "claim_id", authority="authority")} GROUP BY claim_id) x"""
 
 
 @statement("verify_cascade", "evidence", "kg_relation")

@@ -151,3 +151,20 @@ def test_late_years_do_not_overflow(spark, tmp_path):
     rows = ", ".join(f"(CAST({i} AS BIGINT), '{t}', 'en', 'src1', CAST(9 AS BIGINT))" for i, t in enumerate(texts))
     for _, got, want in _odd(spark, tmp_path, {"documents": f"SELECT * FROM (VALUES {rows}) t(doc_id, text, lang, source, n_chars)"}, ["source_too_old"]):
         assert got == want == [(0, True), (1, True), (2, False), (3, False), (4, False), (5, True)]
+
+
+def test_means_are_added_in_the_order_of_rows(spark, tmp_path):
+    rows = """SELECT CAST((i * 7919) % 30000 AS BIGINT) AS l_orderkey, 1 AS l_linenumber, CAST(i AS BIGINT) AS l_suppkey, CAST(1 + hash(i) % 50 AS DOUBLE) AS l_quantity,
+      CAST((hash(i + 7) % 11) / 100.0 AS DOUBLE) AS l_discount, CAST((hash(i + 9) % 9) / 100.0 AS DOUBLE) AS l_tax FROM range(300000) t(i)
+      UNION ALL SELECT 99999, 1, i, CASE WHEN i < 13 THEN 25.0 ELSE 50.0 END, CASE WHEN i < 5 THEN 0.1 ELSE 0.0 END, 0.08 FROM range(16) t(i)"""
+    vectors = "SELECT CAST(i AS BIGINT) AS vec_id, [1.0::FLOAT] AS embedding, 1::INT AS label FROM range(30000) t(i)"
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in was:
+            spark.conf.set(k, "400000")
+        for name, got, want in _odd(spark, tmp_path, {"lineitem": rows, "embeddings": vectors}, ["escalation_vote", "verdict_commit_claims", "verdict_commit_log"]):
+            assert got == want, name
+            assert name != "escalation_vote" or (99999, 0.504687) in got
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
