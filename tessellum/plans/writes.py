@@ -61,20 +61,24 @@ def ingest_log(q):
       SELECT doc_id, n_chars, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k, min(doc_id) OVER (PARTITION BY text) AS first_id FROM {q.table("documents")}) t"""
 
 
-NEW = "SELECT claim_id, CASE WHEN avg(entailment - contradiction) >= 0.2 THEN 'verified' WHEN avg(entailment - contradiction) <= 0 THEN 'disputed' ELSE 'unverified' END AS verdict, round(avg(authority), 6) AS certainty FROM {e} GROUP BY claim_id"
+def verdicts(q) -> str:
+    """The new verdict of each claim with evidence, and its certainty."""
+    lead, authority = q.mean("lead", "entailment - contradiction"), q.mean("authority", "authority")
+    rows = q.in_order("evidence", "claim_id", lead="entailment - contradiction", authority="authority")
+    return f"SELECT claim_id, CASE WHEN {lead} >= 0.2 THEN 'verified' WHEN {lead} <= 0 THEN 'disputed' ELSE 'unverified' END AS verdict, {q.rounded(authority)} AS certainty FROM {rows} GROUP BY claim_id"
 
 
 @statement("verdict_commit_claims", "claim", "evidence")
 def commit_claims(q):
     """SNK11: claims with a new verdict take it, and its certainty as their authority; the others stay."""
     return f"""SELECT c.id, coalesce(n.verdict, c.verdict) AS verdict, coalesce(n.certainty, c.certainty) AS certainty, n.certainty AS authority FROM {q.table("claim")} c
-      LEFT JOIN ({NEW.replace("{e}", q.table("evidence"))}) n ON n.claim_id = c.id"""
+      LEFT JOIN ({verdicts(q)}) n ON n.claim_id = c.id"""
 
 
 @statement("verdict_commit_log", "claim", "evidence")
 def commit_log(q):
     """SNK11, SNK10: a log row with the verdict before and after."""
-    return f"""SELECT c.id AS claim_id, c.verdict AS old_verdict, n.verdict AS new_verdict, n.certainty FROM {q.table("claim")} c JOIN ({NEW.replace("{e}", q.table("evidence"))}) n ON n.claim_id = c.id"""
+    return f"""SELECT c.id AS claim_id, c.verdict AS old_verdict, n.verdict AS new_verdict, n.certainty FROM {q.table("claim")} c JOIN ({verdicts(q)}) n ON n.claim_id = c.id"""
 
 
 @statement("verdict_commit_queue", "queue", "evidence")
