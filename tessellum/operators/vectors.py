@@ -1,14 +1,22 @@
-"""Vector search: exact over blocks of queries, and near duplicates by hyperplane signatures."""
+"""Vector search: exact over blocks of queries, also for near duplicates."""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
+
+from ..sources.bindings import shared_folder
 
-#: Queries that are sent to the executors at once.
+#: Queries that are sent to the executors at once, and rows of a block of vectors.
 BLOCK = 4096
+#: Vectors of a side of the product that a task holds.
+SIDE = 1 << 15
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -66,35 +74,65 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 8, least: float = -
     return found.withColumn("_n", place).where(F.col("_n") <= k).drop("_n")
 
 
-def near_pairs(vectors: DataFrame, distance: float = 0.05, tables: int = 24, bits: int = 10, seed: int = 7) -> DataFrame:
-    """(a, b, distance), a < b: JON16, pairs of vectors(id, embedding) within a cosine distance.
+def near_pairs(vectors: DataFrame, distance: float = 0.05) -> DataFrame:
+    """(a, b, distance), a < b: JON16, all pairs of vectors(id, embedding) within a cosine distance.
 
-    Each vector has ``tables`` signatures of ``bits`` random hyperplanes; those that share one
-    are compared exactly, so no false pair is given. A pair at the distance itself shares
-    a signature with the chance 1 - (1 - p^bits)^tables, p = 1 - acos(1 - distance) / pi: for
-    0.05 it is 0.9999 with the defaults; the test measures recall against all pairs. More
-    rows take more bits. Vectors of no length have no pairs.
+    Vectors are packed in blocks of BLOCK rows at most, written once to the shared folder, and
+    every two blocks meet in a product that shuffles nothing but the blocks. Products of
+    matrices in single precision screen the pairs, with room for their error; what is left is
+    computed in double. So disk is one or two copies of the vectors, while time grows with the
+    square of their number. Vectors of no length and nulls have no pairs.
     """
-
-    def sign(batches):
-        plane = None
-        for b in batches:
-            x = _matrix(b["embedding"].tolist())
-            if not len(x):
-                continue
-            if plane is None or plane.shape[0] != x.shape[1]:
-                plane = np.random.default_rng(seed).standard_normal((x.shape[1], tables * bits))
-            some = np.linalg.norm(x, axis=1) > 0
-            on = (x[some] @ plane > 0).reshape(-1, tables, bits) @ (1 << np.arange(bits))
-            ids = b["id"].to_numpy(np.int64)[some]
-            yield pd.DataFrame({"id": np.repeat(ids, tables), "key": (on + (np.arange(tables) << bits)).ravel()})
-
-    keys = vectors.select("id", "embedding").mapInPandas(sign, "id long, key long")
-    x, y = keys.alias("x"), keys.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    one, two = (vectors.select(F.col("id").alias(c), F.col("embedding").alias("_" + c)) for c in ("a", "b"))
-    met = pairs.join(one, "a").join(two, "b").withColumn("distance", 1 - cosine(F.col("_a"), F.col("_b")))
-    return met.where(F.round("distance", 9) < distance).select("a", "b", "distance")
+    spark = vectors.sparkSession
+    element = vectors.schema["embedding"].dataType.elementType
+    kind = "<f4" if isinstance(element, FloatType) else "<f8"
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                x = _matrix(part.column(1).to_pylist()).astype(kind)
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype("<i8")
+                cells = [[uuid.uuid4().hex], [len(ids)], [ids.tobytes()], [x.tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["block", "n", "ids", "x"])
+
+    def opened(n, ids, x):
+        x = np.frombuffer(x, kind).reshape(n, -1).astype(np.float64)
+        unit = _unit(x)
+        return np.frombuffer(ids, "<i8"), unit, unit.astype(np.float32)
+
+    def meet(batches):
+        last, left = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
+                if r["xblock"] != last:
+                    last, left = r["xblock"], opened(r["xn"], r["xids"], r["xx"])
+                right = left if r["yblock"] == last else opened(r["yn"], r["yids"], r["yx"])
+                for at in range(0, len(left[0]), 512):
+                    near = left[2][at : at + 512] @ right[2].T > 1 - distance - 1e-4
+                    if right is left:
+                        near = np.triu(near, at + 1)
+                    u, v = np.nonzero(near)
+                    for k in range(0, len(u), 1 << 16):
+                        p, q = u[k : k + (1 << 16)] + at, v[k : k + (1 << 16)]
+                        apart = 1 - np.einsum("ij,ij->i", left[1][p], right[1][q])
+                        a, b = left[0][p], right[0][q]
+                        good = (np.round(apart, 9) < distance) & (a != b) & left[1][p].any(axis=1) & right[1][q].any(axis=1)
+                        cells = [np.minimum(a, b)[good], np.maximum(a, b)[good], apart[good]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["a", "b", "distance"])
+
+    rows = vectors.select(F.col("id").cast("long").alias("id"), "embedding").where("id IS NOT NULL AND embedding IS NOT NULL")
+    path = f"{shared_folder(spark)}/vector-blocks-{uuid.uuid4().hex}"
+    rows.mapInArrow(pack, "block string, n long, ids binary, x binary").write.parquet(path)
+    packed = spark.read.schema("block string, n long, ids binary, x binary").parquet(path)
+    n = packed.agg(F.sum("n")).first()[0] or 0
+    # a task holds one side of SIDE rows or so, and a batch one pair of blocks
+    packed = packed.repartition(max(4, -(-n // SIDE)))
+    side = lambda s: packed.select(*[F.col(c).alias(s + c) for c in packed.columns])
+    met = side("x").hint("shuffle_replicate_nl").join(side("y"), F.col("xblock") <= F.col("yblock"))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    return met.mapInArrow(meet, "a long, b long, distance double")
 
 
 def losers(pairs: DataFrame, authority: DataFrame) -> DataFrame:

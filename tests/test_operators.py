@@ -289,3 +289,19 @@ def test_research_ingests_what_passes(spark):
     assert workers.research(store, df, "vector index", AS_OF, block=["blocked.org"]) == 1
     got = store.read("entry").collect()
     assert [(r.entry_id, r.authority) for r in got] == [("1-0", 0.9)] and got[0].content.startswith("A vector index (such as this one) finds near points. It keeps")
+
+
+def test_near_pairs_are_all_pairs_without_a_shuffle_of_them(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((600, 16)).astype(np.float32)
+    x[300:450] = x[:150] + 0.45 * rng.standard_normal((150, 16))
+    x[450:470], x[480] = x[0], 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "id long, embedding array<float>").repartition(7)
+    y = x.astype(float)
+    norm = np.linalg.norm(y, axis=1)
+    sim = np.divide(y @ y.T, np.outer(norm, norm), out=np.zeros((600, 600)), where=np.outer(norm, norm) > 0)
+    found = vectors.near_pairs(df, 0.2)
+    got = {(r.a, r.b): r.distance for r in found.collect()}
+    assert set(got) == {(i, j) for i in range(600) for j in range(i + 1, 600) if 1 - round(sim[i, j], 9) < 0.2} and len(got) > 250
+    assert all(abs(d - (1 - sim[p])) < 1e-9 for p, d in got.items())
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
