@@ -288,6 +288,33 @@ def test_components_of_a_star_and_a_path(spark):
     assert got == {**{k: 1 for k in range(2, 200)}, **{k: 300 for k in range(301, 361)}}
 
 
+@pytest.mark.parametrize("most", [components.TASK_LINKS, 40, 0])
+def test_components_by_rounds_and_in_one_task(spark, most):
+    rng = random.Random(5)
+    links = [(rng.randrange(-300, 300) << 40, rng.randrange(-300, 300) << 40) for _ in range(260)] + [(7, 7)] + [(1 << 62, (1 << 62) - k) for k in range(1, 50)]
+    links += [(k, k + 1) for k in range(300, 360)]
+    root = {x: x for pair in links for x in pair}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components.components(spark.createDataFrame(links, "a long, b long").repartition(3), task_links=most).collect()
+    assert len(got) == len({r.a for r in got}) and {r.a: r.b for r in got} == {a: b for a, b in root.items() if a != b}
+    assert not components.components(spark.createDataFrame([(1, 1)], "a long, b long"), task_links=most).collect()
+
+
+def test_components_of_few_links_take_few_tasks(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(500)], "a long, b long")
+    track, group = spark.sparkContext.statusTracker(), f"links-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "links")
+    try:
+        assert {r.b for r in components.components(links).collect()} == {0}
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    stages = {s for j in track.getJobIdsForGroup(group) for s in track.getJobInfo(j).stageIds}
+    # a round over all of the links takes more than ten stages, whose tasks the driver holds
+    assert 0 < sum(track.getStageInfo(s).numTasks for s in stages if track.getStageInfo(s)) < 60
+
+
 def test_mix(docs, rows, nothing):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(rows) and sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_sources(docs).collect()), key=str)
