@@ -666,6 +666,48 @@ def test_rows_of_shared_keys_pass_batch_by_batch():
         assert got == sorted((k, n, min(ns)) for k, ns in groups.items() if len(ns) > 1 for n in ns)
 
 
+def test_packed_keys_come_back_with_class_and_node(monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 40)
+    texts = [b"", b"one", b"a b c d e f g h", *(b" ".join(b"w%d" % (i * k % 31) for k in range(50)) for i in range(9))]
+    nodes, classes = [7, -3, 1 << 62, *range(9)], [7, -3, 5, *[0] * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(classes), pa.array(texts, pa.binary())], ["node", "c", "t"])
+    got = [r for b in similarity._unpacked(similarity._keyed([batch.slice(0, 5), batch.slice(5)])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    cut = lambda k: k >> 53 << 40 | k & (1 << 40) - 1
+    assert sorted(got) == sorted((cut(k), c, n) for n, c, t in zip(nodes, classes, texts, strict=True) for k in similarity._keys(similarity._digests(t)).tolist())
+
+
+def test_only_keys_of_several_classes_stay():
+    rng = random.Random(8)
+    rows = sorted((rng.randint(0, 40), rng.randint(0, 1), i) for i in range(120)) + [(99, 1, 1), (100, 5, 5), (100, 5, 6)]
+    for size in (1, 2, 7, 300):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], ["key", "c", "node"]) for i in range(0, len(rows), size)]
+        got = [r for b in similarity._contested(batches) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert got == [r for r in rows if len({c for k, c, _ in rows if k == r[0]}) > 1] and 0 < len(got) < len(rows)
+
+
+def test_copies_leave_no_rows_for_the_keys_they_share(spark, monkeypatch):
+    sizes, write = {}, similarity.Scratch.write
+
+    def counted(self, df, what):
+        out = write(self, df, what)
+        sizes[what] = max(sizes.get(what, 0), out.count())
+        return out
+
+    monkeypatch.setattr(similarity.Scratch, "write", counted)
+    texts = [" ".join(f"w{i}x{k}" for k in range(150)) + f" end{j}" for i in range(10) for j in range(6)]
+    # a third that shares parts with each of a pair, without being similar to either
+    texts += [" ".join(f"v{k}" for k in range(lo, lo + 100)) for lo in (0, 15, 45)]
+    df = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "node long, t binary").repartition(5)
+    want = {i: g for i, g in enumerate(near_groups([t.encode() for t in texts])) if g != i}
+    for rows in (similarity.OPEN_ROWS, 3):
+        monkeypatch.setattr(similarity, "OPEN_ROWS", rows)
+        assert {r.a: r.b for r in similarity.similar_classes(df).collect()} == want
+    assert max(sizes.values()) <= 5 * len(texts), sizes
+    label = spark.createDataFrame([(1, 0)], "a long, b long")
+    for most in (0, 5):
+        assert {(r.node, r.c) for r in similarity._classed(df, label, most).collect()} == {(i, 0 if i == 1 else i) for i in range(len(texts))}
+
+
 def test_near_copies_neither_copy_nor_shuffle_the_texts(spark, monkeypatch):
     written = []
     monkeypatch.setattr(corpus_pipeline, "materialize", lambda df, what: written.append((what, df.columns)) or materialize(df, what))
