@@ -98,6 +98,22 @@ def test_simhash_and_independence(spark):
     assert {r.id: r.grp for r in evidence.independence(seen).collect()} == {i: find(i) for i in at}
 
 
+def test_independence_joins_small_claims_in_a_task_and_large_ones_by_links(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i % 40 if i < 700 else rng.randrange(40, 42), i, rng.choice(["", *map("d{}".format, range(99))]), rng.choice(["abc", *map("title {}".format, range(200))]), rng.getrandbits(63) if i % 3 else 1 << rng.randrange(40)) for i in range(900)]
+    rng.shuffle(rows)
+    seen = spark.createDataFrame([*rows, (None, 1000, "d1", "title 1", 1), (None, 1001, "d1", "title 1", 1)], "claim_id long, id long, domain string, title_norm string, fingerprint long").repartition(3)
+    want = {r.id: r.grp for r in evidence.linked(seen).collect()}
+    assert len(set(want.values())) < len(want) and want[1001] == 1001
+    for most in (1 << 10, 50, 0):
+        assert {r.id: r.grp for r in evidence.independence(seen, most).collect()} == want
+    # no rounds where every claim is small
+    monkeypatch.setattr(graph, "components", None)
+    assert {r.id: r.grp for r in evidence.independence(seen).collect()} == want
+    texts = ["", "one two", "a b c d e f g h", "été 𝒳y " * 5, "x" * 9000 + " " + "w " * 20, "a_b c d e f g h i", "w " * 5000]
+    assert text.simhashes(texts).tolist() == [text.simhash64(t) for t in texts] and text.simhashes([]).tolist() == []
+
+
 def test_aggregate_counts_repeats_less(spark):
     e = spark.createDataFrame([(1, 1, 1, 0.9, 0.9, 0.0), (1, 2, 1, 0.9, 0.9, 0.0), (2, 1, 1, 0.9, 0.0, 0.9), (3, 1, 1, 0.1, 0.5, 0.5)], "claim_id long, id long, grp long, authority double, entailment double, contradiction double")
     got = {r.claim_id: r for r in evidence.aggregate(e).collect()}
